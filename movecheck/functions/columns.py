@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    Lambdas of array functions would otherwise work out an outer expression again for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def six_digits(value: Column) -> Column:
     """``value`` rounded to six significant digits."""
     text = F.format_string("%.6g", value.cast("double"))

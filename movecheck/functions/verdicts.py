@@ -5,14 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The block's marker, its fence and the two entry shapes.
+from movecheck.functions.columns import let
+
+# The block's marker, its fence and the two entry shapes. Flags: (?s) a dot
+# is any character, (?d) only \n ends a line, (?m) anchors match at lines.
 MARKER = "machine-verdicts v1"
 FENCE = r"(?s)```(?:ya?ml)?\n(.*?)```"
-ENTRY = (
-    r"^\s+[\"']?([^\s:\"'#{}\[\],][^:\"'{}\[\],]*?)[\"']?\s*:\s+"
-    r"(?:\{\s*(?:[^{}]*?,\s*)?verdict\s*:\s*[\"']?([^,{}\"']+?)[\"']?\s*(?:,[^{}]*)?\}"
-    r"|[\"']?([^\s{}\[\]\"'#,][^{}\[\]\"'#]*?)[\"']?)\s*(?:#.*)?$"
-)
+# The lines after "verdicts:" that are indented, blank or comments. The loop is
+# possessive, which the regex engine runs without recursion, however long the section.
+SECTION = r"(?dm)^verdicts:[ \t]*(?:#.*)?\n((?:(?:[ \t#].*)?(?:\n|\z))*+)"
+_KEY = r"[\"']?([^\s:\"'#{}\[\],][^:\"'{}\[\],\n]*?)[\"']?"
+_FLOW = r"\{[ \t]*(?:[^{}\n]*?,[ \t]*)?verdict[ \t]*:[ \t]*[\"']?([^,{}\"'\n]+?)[\"']?[ \t]*(?:,[^{}\n]*)?\}"
+_PLAIN = r"[\"']?([^\s{}\[\]\"'#,][^{}\[\]\"'#\n]*?)[\"']?"
+_LINE = rf"[ \t]+{_KEY}[ \t]*:[ \t]+(?:{_FLOW}|{_PLAIN})[ \t]*(?:#.*)?"
+ENTRY = rf"(?dm)^{_LINE}$"
+# A line that is neither blank, a comment nor an entry.
+MALFORMED = rf"(?dm)^(?![ \t]*(?:#.*)?$)(?!{_LINE}$)"
+
+_PAIRS = "array<struct<hypothesis:string,verdict:string>>"
+
+
+def _last_of_each(entries: Column) -> Column:
+    """Keeps the last entry of every id, in the order of the text."""
+    ordered = F.array_sort(entries)
+
+    def is_last(all_entries: Column, entry: Column, i: Column) -> Column:
+        following = F.get(all_entries, i + 1).getField("hypothesis")
+        return F.coalesce(following != entry.hypothesis, F.lit(True))
+
+    last = let(ordered, lambda all_: F.filter(all_, lambda e, i: is_last(all_, e, i)))
+    by_place = F.array_sort(
+        F.transform(last, lambda e: F.struct(e.position, e.hypothesis, e.verdict))
+    )
+    return F.transform(by_place, lambda e: F.struct(e.hypothesis, e.verdict))
+
+
+def _entries(section: Column) -> Column:
+    ids, flow, plain = (
+        F.regexp_extract_all(section, F.lit(ENTRY), F.lit(group)) for group in (1, 2, 3)
+    )
+    parsed = F.transform(
+        F.arrays_zip(ids.alias("i"), flow.alias("f"), plain.alias("p")),
+        lambda e, n: F.struct(
+            e["i"].alias("hypothesis"), n.alias("position"), F.concat(e["f"], e["p"]).alias("verdict")
+        ),
+    )
+    return F.when(~section.rlike(MALFORMED), _last_of_each(parsed))
 
 
 def verdict_entries(text: Column) -> Column:
@@ -22,39 +60,11 @@ def verdict_entries(text: Column) -> Column:
     other shape makes the block malformed, and a malformed block has no verdicts. A
     repeated id keeps its last verdict. Only bare, ``yaml`` and ``yml`` fences count as
     openings, so the closing fence of a block in another language opens one that ends at
-    the next fence; verdict documents keep to the counted kinds. Text is taken apart line by line with array
-    functions: no pattern here backtracks over more than one line.
+    the next fence; verdict documents keep to the counted kinds.
     """
     unix = F.regexp_replace(text, r"\r\n?", "\n")
     fenced = F.regexp_extract_all(unix, F.lit(FENCE), F.lit(1))
     block = F.get(F.filter(fenced, lambda b: F.contains(b, F.lit(MARKER))), F.lit(0))
-    lines = F.split(block, "\n")
-    heads = F.transform(lines, lambda line: line.rlike(r"^verdicts:\s*(?:#.*)?$"))
-    start = F.array_position(heads, True).cast("int")
-    rest = F.when(start > 0, F.slice(lines, start + 1, F.size(lines)))
-    # The section ends at the next line that is neither indented, blank nor a comment.
-    ends = F.transform(rest, lambda line: line.rlike(r"^[^\s#]"))
-    stop = F.array_position(ends, True).cast("int")
-    section = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    content = F.filter(section, lambda line: ~line.rlike(r"^\s*(?:#.*)?$"))
-    parsed = F.transform(
-        content,
-        lambda line, i: F.struct(
-            F.regexp_extract(line, ENTRY, 1).alias("hypothesis"),
-            i.alias("position"),
-            F.concat(F.regexp_extract(line, ENTRY, 2), F.regexp_extract(line, ENTRY, 3)).alias(
-                "verdict"
-            ),
-        ),
-    )
-    sound = F.when(~F.exists(parsed, lambda e: e.hypothesis == ""), parsed)
-    ordered = F.array_sort(sound)
-    last = F.filter(
-        ordered,
-        lambda e, i: F.coalesce(F.get(ordered, i + 1).getField("hypothesis") != e.hypothesis, F.lit(True)),
-    )
-    restored = F.array_sort(
-        F.transform(last, lambda e: F.struct(e.position, e.hypothesis, e.verdict))
-    )
-    pairs = F.transform(restored, lambda e: F.struct(e.hypothesis, e.verdict))
-    return F.coalesce(pairs, F.array().cast("array<struct<hypothesis:string,verdict:string>>"))
+    section = F.regexp_extract(block, SECTION, 1)
+    found = F.when(F.contains(text, F.lit(MARKER)), let(section, _entries))
+    return F.coalesce(found, F.array().cast(_PAIRS))

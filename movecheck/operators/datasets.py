@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from movecheck.functions.columns import ident, join_by
-from movecheck.session import checkpointed
+from movecheck.session import checkpointed, sized
 
 _WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -77,46 +77,59 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def rank_within(
-    df: DataFrame, *, by: Sequence[str], order: Sequence[Column], name: str = "rank"
-) -> DataFrame:
-    """1-based rank of every row within its ``by`` group, no group held by one task.
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` range-sorted on (by, order) with every row's position written down (an action).
 
-    ``row_number()`` over a group puts all of it into one task. Here the whole table is
-    range-sorted on (by, order), which cuts a large group over as many tasks as it needs,
-    and each row's position is written out by a reliable checkpoint (an action), so a
-    recomputed split cannot renumber it. Per group and split, the number of rows in
-    earlier splits is added: one small row per split, and one more join on (by, split).
-    ``order`` must be total within a group for a repeatable rank.
+    Positions count up within a split of the sort and between splits; the checkpoint
+    fixes them, so a recomputed split cannot renumber its rows.
     """
-    groups = [ident(c) for c in by]
-    placed = checkpointed(
-        df.orderBy(*groups, *order)
+    return checkpointed(
+        df.orderBy(*[ident(c) for c in by], *order)
         .withColumn("__position", F.monotonically_increasing_id())
         .withColumn("__split", F.shiftright(F.col("__position"), 33))
     )
+
+
+def _ranked(placed: DataFrame, by: Sequence[str], name: str, total: str | None = None) -> DataFrame:
+    """Turns positions into ranks: one small row per group and split is joined back.
+
+    With ``total`` the group's sum of that column comes along as ``__total``.
+    """
+    groups = [ident(c) for c in by]
+    value = ident(total) if total else F.lit(0)
     pieces = placed.groupBy(*groups, "__split").agg(
-        F.min("__position").alias("__first"), F.count(F.lit(1)).alias("__rows")
+        F.min("__position").alias("__first"),
+        F.count(F.lit(1)).alias("__rows"),
+        F.sum(value).alias("__value"),
     )
-    # At most one row per split and group: a running sum over the number of splits.
-    earlier = (
-        Window.partitionBy(*(groups or [F.lit(0)]))
-        .orderBy("__split")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = pieces.select(
-        *groups,
-        "__split",
-        "__first",
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
-    )
-    return (
-        join_by(placed, offsets, [*by, "__split"])
-        .withColumn(
-            name, (F.col("__position") - F.col("__first") + F.col("__before") + 1).cast("bigint")
+    # These windows hold one row per split of the sort for each group, not its rows.
+    group = Window.partitionBy(*(groups or [F.lit(0)]))
+    earlier = group.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized(
+        pieces.select(
+            *groups,
+            "__split",
+            (F.col("__first") - F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - 1).alias("__zero"),
+            F.sum("__value").over(group).alias("__total"),
         )
-        .drop("__position", "__split", "__first", "__before")
     )
+    ranked = join_by(placed, offsets, [*by, "__split"]).withColumn(
+        name, F.col("__position") - F.col("__zero")
+    )
+    return ranked.drop("__position", "__split", "__zero", *([] if total else ["__total"]))
+
+
+def rank_within(
+    df: DataFrame, *, by: Sequence[str], order: Sequence[Column], name: str = "rank"
+) -> DataFrame:
+    """1-based rank of every row within its ``by`` group, no group held by one task.
+
+    ``row_number()`` over a group puts all of it into one task. Here the whole table is
+    range-sorted on (by, order), which cuts a large group over as many tasks as it needs,
+    written with its positions, and shifted by the rows of the group in earlier splits.
+    ``order`` must be total within a group for a repeatable rank. An action.
+    """
+    return _ranked(_placed(df, by, order), by, name)
 
 
 def allocate(
@@ -127,15 +140,17 @@ def allocate(
     Largest remainder: every row gets the whole part of its share, the leftover units go
     to the largest fractions, ties to the smallest ``key``. Weights are not negative; a
     group whose weights add up to zero gets null units. Whole-number weights are shared
-    out in exact integer arithmetic.
+    out in exact integer arithmetic. An action, see ``rank_within``.
     """
     exact = isinstance(df.schema[weight].dataType, _WHOLE_NUMBERS)
     kind = "decimal(19,0)" if exact else "double"
     groups = list(by) or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(0))
     rows = rows.withColumn("__weight", ident(weight).cast(kind))
-    sums = rows.groupBy(*map(ident, groups)).agg(
-        F.nullif(F.sum("__weight"), F.lit(0).cast(kind)).alias("__sum")
+    sums = sized(
+        rows.groupBy(*map(ident, groups)).agg(
+            F.nullif(F.sum("__weight"), F.lit(0).cast(kind)).alias("__sum")
+        )
     )
     scaled = F.col("__weight") * F.lit(total).cast(kind)
     if exact:
@@ -148,13 +163,9 @@ def allocate(
         join_by(rows, sums, groups)
         .withColumn("__whole", whole.cast("bigint"))
         .withColumn("__fraction", fraction)
+        .drop("__weight", "__sum")
     )
     order = [F.col("__fraction").desc(), *[ident(c) for c in key]]
-    ranked = rank_within(shared, by=groups, order=order, name="__rank")
-    leftover = ranked.groupBy(*map(ident, groups)).agg(
-        (F.lit(total) - F.sum("__whole")).alias("__leftover")
-    )
-    extra = (F.col("__rank") <= F.col("__leftover")).cast("bigint")
-    return join_by(ranked, leftover, groups).select(
-        *[ident(c) for c in df.columns], (F.col("__whole") + extra).alias("units")
-    )
+    ranked = _ranked(_placed(shared, groups, order), groups, "__rank", total="__whole")
+    extra = (F.col("__rank") <= F.lit(total) - F.col("__total")).cast("bigint")
+    return ranked.select(*[ident(c) for c in df.columns], (F.col("__whole") + extra).alias("units"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from movecheck.functions.columns import all_of, ident, join_by, ratio
+from movecheck.session import sized
 
 
 def _window_sums(day: Column, cutover: date, days: int) -> list[Column]:
@@ -166,10 +167,9 @@ def rename_events(
     ``mapping`` has the segment columns, ``name``, ``renamed_to`` and ``from_date``
     (inclusive). Where a name is mapped several times the latest date reached wins.
 
-    The join is left to the planner: a mapping whose size it knows (a file, a literal
-    table) is broadcast below ``spark.sql.autoBroadcastJoinThreshold``, anything else is
-    a sort-merge join that adaptive execution splits where one event name dominates.
-    Write a derived mapping to a table first and its size is known.
+    The mapping is worked out once, written and counted (an action); a small one is
+    broadcast, so the events do not move. A mapping beyond that size is joined by
+    sort-merge, which adaptive execution splits where one event name dominates.
     """
     keys = [*segment, "__name"]
     ordered = Window.partitionBy(*[ident(c) for c in segment], F.col("name")).orderBy("from_date")
@@ -180,6 +180,7 @@ def rename_events(
         F.col("from_date").alias("__from"),
         "__until",
     )
+    spans = sized(spans)
     day = F.to_date(ident(ts))
     applies = (
         all_of(F.col(f"`{c}`").eqNullSafe(F.col(f"`__m_{c}`")) for c in keys)

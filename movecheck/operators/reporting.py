@@ -29,7 +29,7 @@ def query_index(queries: DataFrame, reports: DataFrame) -> DataFrame:
         F.col("checks").alias("__checks"),
     )
     return (
-        join_by(queries, outcome, ["stem"], "left")
+        queries.join(outcome, "stem", "left")
         .select(
             "file",
             F.coalesce("__status", F.lit("missing")).alias("status"),
@@ -44,7 +44,8 @@ def query_index(queries: DataFrame, reports: DataFrame) -> DataFrame:
 def result_inventory(results: DataFrame, listing: DataFrame, *, file: str = "file") -> DataFrame:
     """Data rows per result file. ``listing`` names all files, so empty ones count 0."""
     counts = results.groupBy(ident(file).alias("file")).agg(F.count(F.lit(1)).alias("__rows"))
-    return join_by(listing.select(ident(file).alias("file")), counts, ["file"], "left").select(
+    files = listing.select(ident(file).alias("file"))
+    return files.join(counts, "file", "left").select(
         "file", F.coalesce("__rows", F.lit(0)).cast("bigint").alias("n_rows")
     )
 
@@ -54,17 +55,26 @@ def preview(
 ) -> DataFrame:
     """The first ``limit`` rows of each table, its total rows and a truncation mark.
 
-    The planner keeps ``limit`` rows per group in every input split before the shuffle,
-    so a table's size does not matter; totals come from a separate count.
+    Either way only ``limit`` rows per table and input split ever move: a plain top-n
+    without ``by``, a window the planner limits before the shuffle with it.
     """
-    groups = list(by) or ["__all"]
-    rows = df if by else df.withColumn("__all", F.lit(0))
-    place = Window.partitionBy(*[ident(c) for c in groups]).orderBy(*order)
-    first = rows.withColumn("position", F.row_number().over(place)).filter(
-        F.col("position") <= limit
-    )
-    totals = rows.groupBy(*[ident(c) for c in groups]).agg(F.count(F.lit(1)).alias("total_rows"))
-    return join_by(first, totals, groups).select(
+    if by:
+        place = Window.partitionBy(*[ident(c) for c in by]).orderBy(*order)
+        first = df.withColumn("position", F.row_number().over(place)).filter(
+            F.col("position") <= limit
+        )
+        totals = df.groupBy(*[ident(c) for c in by]).agg(F.count(F.lit(1)).alias("total_rows"))
+        shown = join_by(first, totals, by)
+    else:
+        total = df.agg(F.count(F.lit(1))).scalar()
+        place = Window.partitionBy(F.lit(0)).orderBy(*order)
+        shown = (
+            df.orderBy(*order)
+            .limit(limit)
+            .withColumn("position", F.row_number().over(place))
+            .withColumn("total_rows", total)
+        )
+    return shown.select(
         *[ident(c) for c in df.columns],
         "position",
         "total_rows",

@@ -11,8 +11,8 @@ from movecheck.functions.columns import ident, join_by, ratio
 
 
 def first_seen(events: DataFrame, *, user: str, ts: str, cohort: str = "cohort") -> DataFrame:
-    """One row per user with the date of their first event."""
-    return events.groupBy(ident(user).alias(user)).agg(F.min(F.to_date(ident(ts))).alias(cohort))
+    """One row per user with the date of their first event; events without a user are no one's."""
+    return events.filter(ident(user).isNotNull()).groupBy(ident(user).alias(user)).agg(F.min(F.to_date(ident(ts))).alias(cohort))
 
 
 def cohort_retention(

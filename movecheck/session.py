@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -14,6 +15,9 @@ CONF = {
     # Partial aggregation runs before every shuffle; a task only ever holds a split
     # of this size plus its hash table.
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Column objects do not need the Python line that made them; recording it costs
+    # more than planning for the wider jobs.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -50,3 +54,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files (an action)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written to the checkpoint folder, and broadcast if it proves small (an action).
+
+    For lookup tables the planner cannot size, such as the result of another job: without
+    a size it would shuffle the big side before finding out. Beyond ``max_rows`` the join
+    is left to the planner, which splits skewed partitions at run time.
+    """
+    written = checkpointed(df)
+    return F.broadcast(written) if written.count() <= max_rows else written

@@ -1,0 +1,166 @@
+"""The three tests against hand-computed values, an independent solver and each other."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from movecheck.functions.columns import round_report
+from movecheck.operators import contrasts
+
+COUNTS = "seg string, a_success long, a_n long, b_success long, b_n long"
+
+
+def test_two_prop_hand_computed(spark):
+    # 480/1200 = 0.4, 300/1150 = 0.260870, pooled 780/2350 = 0.331915
+    # pooled se sqrt(.331915 * .668085 * (1/1200 + 1/1150)) = 0.019432, z = .139130 / .019432
+    # Wald se sqrt(.4 * .6 / 1200 + .260870 * .739130 / 1150) = 0.019175
+    df = spark.createDataFrame([("x", 480, 1200, 300, 1150)], COUNTS)
+    r = contrasts.two_prop_from_counts(df, alpha=0.05, by=["seg"]).first()
+    assert r.test == "two-prop" and r.valid and (r.a_n, r.b_n, r.alpha) == (1200, 1150, 0.05)
+    assert (r.p_a, r.p_b, r["diff"]) == pytest.approx((0.4, 0.260870, 0.139130), abs=1e-6)
+    assert r.z == pytest.approx(7.15976, abs=1e-5)
+    assert (r.ci_low, r.ci_high) == pytest.approx((0.101549, 0.176712), abs=1e-4)
+    assert 0 < r.p_value < 1e-10
+
+
+def test_two_prop_swapped_arms_mirror(spark):
+    df = spark.createDataFrame([("f", 480, 1200, 300, 1150), ("r", 300, 1150, 480, 1200)], COUNTS)
+    rows = {r.seg: r for r in contrasts.two_prop_from_counts(df, alpha=0.05, by=["seg"]).collect()}
+    f, r = rows["f"], rows["r"]
+    assert (r["diff"], r.z, r.ci_low, r.ci_high) == pytest.approx((-f["diff"], -f.z, -f.ci_high, -f.ci_low))
+    assert r.p_value == pytest.approx(f.p_value)
+
+
+def test_two_prop_bad_and_degenerate_segments_do_not_stop_the_job(spark):
+    rows = [("over", 13, 10, 1, 10), ("empty", 0, 0, 1, 10), ("all", 10, 10, 5, 5), ("null", None, 10, 1, 10),
+            ("good", 5, 10, 1, 10)]
+    out = {
+        r.seg: r
+        for r in contrasts.two_prop_from_counts(
+            spark.createDataFrame(rows, COUNTS), alpha=0.05, by=["seg"]
+        ).collect()
+    }
+    for seg in ("over", "empty", "null"):
+        assert not out[seg].valid and out[seg].z is None and out[seg].ci_low is None
+    assert out["all"].valid and out["all"]["diff"] == 0 and out["all"].z is None and out["all"].p_value is None
+    assert out["good"].valid and out["good"].z is not None
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0])
+def test_bad_alpha_fails_at_once(spark, alpha):
+    df = spark.createDataFrame([("x", 1, 10, 1, 10)], COUNTS)
+    with pytest.raises(ValueError):
+        contrasts.two_prop_from_counts(df, alpha=alpha)
+    with pytest.raises(ValueError):
+        contrasts.did(df, metric="a_n", group="a_n", period="a_n", alpha=alpha)
+
+
+def test_two_prop_from_rows_equals_counts(spark):
+    rows = [("a", i < 48) for i in range(120)] + [("b", i < 30) for i in range(115)] + [("c", True), ("a", None)]
+    df = spark.createDataFrame(rows, "arm string, ok boolean")
+    r = contrasts.two_prop(df, outcome=F.col("ok"), arm=F.col("arm"), a="a", b="b", alpha=0.1).first()
+    assert (r.a_n, r.b_n) == (121, 115) and r.p_a == pytest.approx(48 / 121)
+
+
+def did_rows(groups=(0, 1), periods=(0, 1)):
+    # Cell means 10, 12, 20, 27; ±1 noise leaves them exact: (27-20) - (12-10) = 5.
+    means = [[10, 12], [20, 27]]
+    return [
+        (g, p, d, float(means[i][j] + (1 if d < 5 else -1)))
+        for i, g in enumerate(groups)
+        for j, p in enumerate(periods)
+        for d in range(10)
+    ]
+
+
+def did(df, **kwargs):
+    return contrasts.did(df, metric="y", group="g", period="p", alpha=0.05, **kwargs)
+
+
+def test_did_hand_computed(spark):
+    r = did(spark.createDataFrame(did_rows(), "g int, p int, day int, y double")).first()
+    assert r.valid and r.test == "did"
+    assert r.estimate == pytest.approx(5.0, abs=1e-9)
+    assert r.se == pytest.approx(2 / 3) and r.t == pytest.approx(7.5) and r.p_value < 1e-10
+    assert (r.nobs, r.n_treat_post, r.n_control_pre, r.n_control_post, r.n_treat_pre) == (40, 10, 10, 10, 10)
+
+
+def ols_hc1(g, p, y):
+    x = np.column_stack([np.ones_like(y), g, p, g * p])
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ y
+    residual = y - x @ beta
+    meat = x.T @ (x * residual[:, None] ** 2)
+    n, k = x.shape
+    return beta[3], np.sqrt((inverse @ meat @ inverse * n / (n - k))[3, 3])
+
+
+def test_did_equals_the_regression_on_unbalanced_segments(spark):
+    rng = np.random.default_rng(3)
+    rows, expected = [], {}
+    for seg in range(5):
+        n = int(rng.integers(30, 200))
+        g, p = rng.integers(0, 2, n), (rng.random(n) < 0.3).astype(int)
+        y = rng.normal(size=n) * (1 + g) + 2 * g * p
+        rows += [(seg, int(a), int(b), float(c)) for a, b, c in zip(g, p, y)]
+        expected[seg] = ols_hc1(g.astype(float), p.astype(float), y)
+    df = spark.createDataFrame(rows, "seg int, g int, p int, y double")
+    together = {r.seg: r for r in did(df, by=["seg"]).collect()}
+    for seg, (estimate, se) in expected.items():
+        assert (together[seg].estimate, together[seg].se) == pytest.approx((estimate, se), rel=1e-9)
+        alone = did(df.filter(F.col("seg") == seg)).first()
+        assert (alone.estimate, alone.se) == pytest.approx((together[seg].estimate, together[seg].se))
+
+
+def test_did_invalid_and_thin_segments(spark):
+    schema = "seg string, g double, p int, y double"
+    rows = [("recode", 2.0 if g else 0.0, p, y) for g, p, _, y in did_rows()]
+    rows += [("half", 0.5, 1, 1.0), ("half", 1.0, 1, 1.0)]
+    rows += [("null", None, 1, 1.0), ("null", 1.0, 1, 1.0)]
+    rows += [("thin", 0.0, 0, 1.0), ("thin", 0.0, 1, 2.0), ("thin", 1.0, 0, 3.0), ("thin", 1.0, 1, 9.0)]
+    rows += [("cell", float(g), p, y) for g, p, _, y in did_rows() if not (g and p)]
+    rows += [("flat", float(g), p, 3.0) for g, p, _, y in did_rows()]
+    out = {r.seg: r for r in did(spark.createDataFrame(rows, schema), by=["seg"]).collect()}
+    for seg in ("recode", "half", "null"):
+        assert not out[seg].valid and out[seg].estimate is None and out[seg].se is None
+    assert out["thin"].valid and out["thin"].estimate is None and out["thin"].nobs == 4
+    assert out["cell"].valid and out["cell"].estimate is None and out["cell"].se is None
+    assert out["flat"].estimate == 0 and out["flat"].se == 0 and out["flat"].t is None
+
+
+def test_did_null_metric_counts_in_cells_only(spark):
+    rows = did_rows() + [(1, 1, 11, None)]
+    r = did(spark.createDataFrame(rows, "g int, p int, day int, y double")).first()
+    assert (r.nobs, r.n_treat_post, r.estimate) == (40, 11, pytest.approx(5.0))
+
+
+def test_did_reads_text_codes(spark):
+    rows = [(str(g), bool(p), y) for g, p, _, y in did_rows()]
+    assert did(spark.createDataFrame(rows, "g string, p boolean, y double")).first().estimate == pytest.approx(5)
+
+
+def test_power_hand_computed(spark):
+    rows = [("ok", 0.30, 0.05, 1000, 1000), ("domain", 0.99, 0.05, 1000, 1000), ("empty", 0.3, 0.05, 0, 10),
+            ("skew", 0.30, 0.05, 200, 5000), ("down", 0.35, -0.05, 1000, 1000)]
+    df = spark.createDataFrame(rows, "seg string, base double, eff double, a long, b long")
+    out = {
+        r.seg: r
+        for r in contrasts.power(
+            df, effect=F.col("eff"), baseline=F.col("base"), n_a=F.col("a"), n_b=F.col("b"),
+            alpha=0.05, by=["seg"],
+        ).collect()
+    }
+    # h = 2 asin(sqrt(.35)) - 2 asin(sqrt(.30)) = .106824; shift h * sqrt(500) = 2.38867
+    assert out["ok"].power == pytest.approx(0.665935, abs=1e-6)
+    assert out["down"].power == pytest.approx(out["ok"].power)
+    assert 0 < out["skew"].power < out["ok"].power
+    for seg in ("domain", "empty"):
+        assert out[seg].power is None and not out[seg].valid
+
+
+def test_report_digits(spark):
+    df = spark.createDataFrame([("x", 480, 1200, 300, 1150)], COUNTS)
+    r = round_report(contrasts.two_prop_from_counts(df, alpha=0.05)).first()
+    assert (r.z, r.p_b, r.a_n) == (7.15976, 0.26087, 1200)
