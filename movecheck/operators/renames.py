@@ -109,14 +109,14 @@ def detect_renames(
         .distinct()
         .withColumn("__bucket", F.explode(F.sequence(low, high)))
     )
-    gap = F.abs(F.col("new_volume") / F.col("old_volume") - 1)
+    gap = F.abs(F.col("new_volume") - F.col("old_volume"))
     best = (
         join_by(
             volumes,
             new.withColumn("__bucket", bucket(F.col("new_volume"))),
             [*segment, "__bucket"],
         )
-        .filter(gap <= tolerance)
+        .filter(gap <= F.lit(tolerance) * F.col("old_volume"))
         .groupBy(*map(ident, segment), "old_volume")
         .agg(
             F.min(F.struct(gap.alias("gap"), F.col("new_event"), F.col("new_volume"))).alias("best"),

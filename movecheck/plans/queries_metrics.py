@@ -476,10 +476,10 @@ _RENAMED_SQL = """
              b.post AS new_volume, b.post::DOUBLE / a.pre AS r,
              count(*) OVER (PARTITION BY a.segment, a.event) AS candidates,
              row_number() OVER (PARTITION BY a.segment, a.event
-                                ORDER BY abs(b.post::DOUBLE / a.pre - 1), b.event) AS place
+                                ORDER BY abs(b.post - a.pre), b.event) AS place
       FROM w a JOIN w b ON a.segment = b.segment
       WHERE a.pre > 0 AND a.after = 0 AND b.before = 0 AND b.post > 0
-        AND abs(b.post::DOUBLE / a.pre - 1) <= 0.25
+        AND abs(b.post - a.pre) <= 0.25 * a.pre
         AND NOT EXISTS (SELECT 1 FROM w o WHERE o.event = b.event AND o.segment <> b.segment))
     SELECT segment, old_event, new_event, old_volume, new_volume,
            round(r, 6) AS volume_ratio, candidates
