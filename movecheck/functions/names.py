@@ -15,6 +15,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from movecheck.functions.columns import let
+
 # The built-in personal-data names.
 SINGLE_TOKENS = (
     "email",
@@ -66,13 +68,16 @@ def tokens(name: Column) -> Column:
 
 def name_keys(name: Column) -> Column:
     """Every key ``name`` answers to."""
-    toks = tokens(name)
-    rest = F.greatest(F.size(toks) - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice(toks, 1, rest), F.slice(toks, 2, rest), lambda a, b: F.concat(a, F.lit("+"), b)
-    )
-    whole = F.when(F.size(toks) == 1, F.transform(toks, lambda t: F.concat(F.lit("="), t)))
-    return F.concat(toks, pairs, F.coalesce(whole, F.array().cast("array<string>")))
+
+    def keys(toks: Column) -> Column:
+        rest = F.greatest(F.size(toks) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(toks, 1, rest), F.slice(toks, 2, rest), lambda a, b: F.concat(a, F.lit("+"), b)
+        )
+        whole = F.when(F.size(toks) == 1, F.transform(toks, lambda t: F.concat(F.lit("="), t)))
+        return F.concat(toks, pairs, F.coalesce(whole, F.array().cast("array<string>")))
+
+    return let(tokens(name), keys)
 
 
 def is_blocked(name: Column, extras: Iterable[str] = ()) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movecheck.functions.names import pattern_key
@@ -82,10 +82,17 @@ def focus_window(windows: DataFrame, case: str) -> tuple[date, date] | None:
     return (rows[0].start, rows[0].end) if rows else None
 
 
-def _with_stem(df: DataFrame, ending: str, path: str = "_metadata.file_path") -> DataFrame:
+def _plain(path: Column) -> Column:
+    """A ``_metadata`` path as the file system spells it: percent escapes undone, ``+`` kept."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _with_stem(df: DataFrame, ending: str) -> DataFrame:
     """Adds ``stem``: the name before ``ending`` of the file, or of the folder Spark wrote."""
     pattern = rf"([^/]+){ending}(?:/[^/]*)?$"
-    return df.withColumn("stem", F.regexp_extract(F.url_decode(F.col(path)), pattern, 1))
+    return df.withColumn(
+        "stem", F.regexp_extract(_plain(F.col("_metadata.file_path")), pattern, 1)
+    )
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +124,7 @@ def read_documents(spark: SparkSession, path: str, *, ending: str = r"\.[^./]+")
     """One row per file: ``stem``, ``file`` and the whole ``text``."""
     texts = spark.read.text(path, wholetext=True)
     return _with_stem(texts, ending).select(
-        "stem", F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")
+        "stem", _plain(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text")
     )
 
 
@@ -137,6 +144,12 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCENARIO_SCHEMA).json(path)
 
 
+def list_result_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` per result file at ``path``, empty ones included (names only, no contents)."""
+    listing = spark.read.format("binaryFile").load(path)
+    return listing.select(_plain(F.col("_metadata.file_name")).alias("file"))
+
+
 def read_result_rows(spark: SparkSession, path: str, *, format: str = "csv") -> DataFrame:
     """``file`` per data record of the result files at ``path``, for the inventory.
 
@@ -147,4 +160,4 @@ def read_result_rows(spark: SparkSession, path: str, *, format: str = "csv") ->
         rows = reader.option("multiLine", True).csv(path)
     else:
         rows = spark.read.format(format).load(path)
-    return rows.select(F.col("_metadata.file_name").alias("file"))
+    return rows.select(_plain(F.col("_metadata.file_name")).alias("file"))

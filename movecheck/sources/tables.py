@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from pathlib import PurePosixPath
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +37,10 @@ def view_names(paths: Iterable[str]) -> dict[str, str]:
     """View name to path. Names are checked against each other before anything is read."""
     views: dict[str, str] = {}
     for path in paths:
-        file = PurePosixPath(unquote(path))
+        file = PurePosixPath(path)
         name = view_name(file.stem)
         if name in views:
-            other = PurePosixPath(unquote(views[name])).name
+            other = PurePosixPath(views[name]).name
             raise ViewNameCollision(
                 f"view name collision: {file.name} and {other} both become {name!r}"
             )
@@ -66,15 +65,13 @@ def register_folder(
     extras, schemas = tuple(extras), schemas or {}
     tables = {}
     for name, path in view_names(list_files(spark, folder, f"*.{format}")).items():
-        # The listing escapes names; the reader takes them as they are.
-        target = unquote(path)
         if format == "csv":
             reader = spark.read.option("header", True)
             given = schemas.get(name)
             reader = reader.schema(given) if given else reader.option("inferSchema", True)
-            df = reader.csv(target)
+            df = reader.csv(path)
         else:
-            df = spark.read.format(format).load(target)
+            df = spark.read.format(format).load(path)
         tables[name] = register(df, name, extras)
     return tables
 

@@ -137,9 +137,10 @@ def test_inventory_counts_records_not_lines(spark, tmp_path):
     (tmp_path / "b.csv").write_text("only\n")
     (tmp_path / "c.csv").write_text("x\n1\n2\n")
     pattern = str(tmp_path / "*.csv")
-    listing = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_name").alias("file"))
+    (tmp_path / "d %2B+.csv").write_text("x\n1\n")
+    listing = files.list_result_files(spark, pattern)
     out = reporting.result_inventory(files.read_result_rows(spark, pattern), listing)
-    assert {r.file: r.n_rows for r in out.collect()} == {"a.csv": 2, "b.csv": 0, "c.csv": 2}
+    assert {r.file: r.n_rows for r in out.collect()} == {"a.csv": 2, "b.csv": 0, "c.csv": 2, "d %2B+.csv": 1}
 
 
 def test_preview(spark):

@@ -66,6 +66,13 @@ def test_given_schema_and_parquet(spark, folder):
     assert sum(df.count() for df in again.values()) == 2
 
 
+def test_odd_file_names(spark, tmp_path):
+    for i, name in enumerate(["a%20b.csv", "c+d e.csv", "2024 é.csv"]):
+        put(tmp_path / name, f"x\n{i}\n")
+    found = tables.register_folder(spark, str(tmp_path))
+    assert {n: df.first().x for n, df in found.items()} == {"a_20b": 0, "c_d_e": 1, "t_2024": 2}
+
+
 def test_missing_folder_has_no_views(spark, tmp_path):
     assert tables.register_folder(spark, str(tmp_path / "none")) == {}
 
@@ -158,9 +165,9 @@ def test_results_round_trip(spark, tmp_path):
 
 
 def test_documents_and_queries(spark, tmp_path):
-    put(tmp_path / "h1 x.sql", "SELECT 1\nFROM t\n")
+    put(tmp_path / "h1 x+%41.sql", "SELECT 1\nFROM t\n")
     row = files.read_queries(spark, str(tmp_path / "*.sql")).first()
-    assert (row.stem, row.sql) == ("h1 x", "SELECT 1\nFROM t\n")
+    assert (row.stem, row.file, row.sql) == ("h1 x+%41", "h1 x+%41.sql", "SELECT 1\nFROM t\n")
     put(tmp_path / "verdicts.md", "# é\n\ntext\n")
     assert files.read_documents(spark, str(tmp_path / "*.md")).first().text == "# é\n\ntext\n"
 
