@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,12 @@ def load_patterns(spark: SparkSession, path: str) -> list[str]:
 
     A policy file is configuration of a few lines. A missing file is no extras.
     """
-    from movecheck.sources.tables import list_files
-
-    folder, _, name = path.rpartition("/")
-    if not list_files(spark, folder or ".", name):
-        return []
-    patterns = [row.pattern for row in read_patterns(spark, path).collect()]
+    try:
+        patterns = [row.pattern for row in read_patterns(spark, path).collect()]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
     for pattern in patterns:
         pattern_key(pattern)
     return patterns
@@ -120,17 +122,24 @@ def write_result(result: DataFrame, path: str, *, format: str = "parquet") -> No
     writer.format(format).save(path)
 
 
+def read_results(spark: SparkSession, folder: str, stems: Sequence[str]) -> DataFrame:
+    """Rows of published Parquet results of one shape, with the ``stem`` each came from."""
+    return _with_stem(spark.read.parquet(*[f"{folder}/{stem}" for stem in stems]), "")
+
+
 def read_documents(spark: SparkSession, path: str, *, ending: str = r"\.[^./]+") -> DataFrame:
-    """One row per file: ``stem``, ``file`` and the whole ``text``."""
+    """One row per file: ``folder`` it lies in, ``stem``, ``file`` and the whole ``text``."""
     texts = spark.read.text(path, wholetext=True)
+    parent = F.regexp_extract(_plain(F.col("_metadata.file_path")), r"([^/]*)/[^/]*$", 1)
     return _with_stem(texts, ending).select(
-        "stem", _plain(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text")
+        parent.alias("folder"), "stem", _plain(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text")
     )
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """One row per SQL file: ``stem``, ``file`` and ``sql``."""
-    return read_documents(spark, path, ending=r"\.sql").withColumnRenamed("text", "sql")
+    documents = read_documents(spark, path, ending=r"\.sql")
+    return documents.select("stem", "file", F.col("text").alias("sql"))
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:

@@ -19,14 +19,17 @@ class ViewNameCollision(ValueError):
     """Two files of one folder would become the same view."""
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Paths of a folder's files, by name, from any file system Spark reads.
+def list_tables(spark: SparkSession, folder: str, ending: str) -> list[str]:
+    """Paths of a folder's tables, by name, from any file system Spark reads.
 
-    Only the listing is read, not the contents. A missing folder has no files.
+    A table is a file with this ending or a folder of part files with it. Names are
+    listed and made distinct by Spark; contents are not read. A missing folder is empty.
     """
+    inside = rf"(\Q{ending}\E)/[^/]*$"
     try:
-        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
-        return sorted(row.path for row in files.select("path").collect())
+        files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*{ending}")
+        paths = files.select(F.regexp_replace("path", inside, "$1").alias("path")).distinct()
+        return sorted(row.path for row in paths.collect())
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return []
@@ -56,15 +59,15 @@ def register_folder(
     schemas: Mapping[str, T.StructType] | None = None,
     format: str = "csv",
 ) -> dict[str, DataFrame]:
-    """Make every file of a folder a view, blocked columns left out.
+    """Make every table of a folder a view, blocked columns left out.
 
-    CSV files have a header; types are inferred unless ``schemas`` holds the view's
+    A table is one file or a folder of part files, named ``<table>.<format>``. CSV files have a header; types are inferred unless ``schemas`` holds the view's
     schema, which saves a pass over the file. Parquet brings its own schema and is the
     format to use at scale. Returns the registered tables by view name, in file order.
     """
     extras, schemas = tuple(extras), schemas or {}
     tables = {}
-    for name, path in view_names(list_files(spark, folder, f"*.{format}")).items():
+    for name, path in view_names(list_tables(spark, folder, f".{format}")).items():
         if format == "csv":
             reader = spark.read.option("header", True)
             given = schemas.get(name)
