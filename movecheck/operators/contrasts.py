@@ -112,15 +112,17 @@ def did(
     variance of each cell: estimate = Σ ± mean, se² = N/(N−4) · Σ var/n. One aggregation,
     no solver. The p-value is normal, not t.
 
-    ``group`` and ``period`` must be 0/1 in every row; otherwise the segment is invalid —
-    recode them in SQL. Rows with a null metric are in the cell counts but not in
+    ``group`` and ``period`` must be 0/1 in every row, and ``metric`` a number or null;
+    otherwise the segment is invalid — recode in SQL. Rows with a null or NaN metric are in the cell counts but not in
     ``nobs`` or the estimate. An empty cell or N ≤ 4 gives null statistics.
     """
     check_alpha(alpha)
     g, p = (ident(c).try_cast("double") for c in (group, period))
-    # The raw type must survive the cast: text such as "0" is read as a number.
-    y = ident(metric).cast("double")
-    coded = F.coalesce(g.isin(0.0, 1.0) & p.isin(0.0, 1.0), F.lit(False))
+    number = ident(metric).try_cast("double")
+    y = F.when(~F.isnan(number), number)
+    coded = F.coalesce(g.isin(0.0, 1.0) & p.isin(0.0, 1.0), F.lit(False)) & ~(
+        ident(metric).isNotNull() & number.isNull()
+    )
     cells = {
         "treat_post": (1.0, 1.0, 1),
         "control_pre": (0.0, 0.0, 1),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,10 +145,13 @@ def volume_conservation(
 ) -> DataFrame:
     """Mean events per day in the ``days`` days before and from the cutover, per segment.
 
-    Days without events count as zero, so the means are window totals over ``days``.
+    Days without events count as zero, so the means are window totals over ``days``. Only
+    these days are read.
     """
-    _, pre, post, _ = _window_sums(F.to_date(ident(ts)), cutover, days)
-    means = events.groupBy(*[ident(c) for c in segment]).agg(pre, post)
+    day = F.to_date(ident(ts))
+    _, pre, post, _ = _window_sums(day, cutover, days)
+    near = (day >= F.lit(cutover - timedelta(days))) & (day < F.lit(cutover + timedelta(days)))
+    means = events.filter(near).groupBy(*[ident(c) for c in segment]).agg(pre, post)
     change = ratio(F.col("post"), F.col("pre"))
     return means.select(
         *[ident(c) for c in segment],
@@ -214,7 +217,8 @@ def union_streams(streams: Sequence[DataFrame], *, order: Sequence[str]) -> Data
     merged = streams[0]
     for stream in streams[1:]:
         merged = merged.unionByName(stream)
-    columns = [ident(c) for c in merged.columns]
+    # Maps cannot be hashed; rows that differ in nothing else still spread by split.
+    columns = [ident(c) for c, kind in merged.dtypes if "map<" not in kind]
     salted = merged.withColumn("__hash", F.xxhash64(*columns)).withColumn(
         "__split", F.spark_partition_id()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,14 @@ def cohort_retention(
     event: str | None = None,
     qualifying: Sequence[str] = (),
     by: Sequence[str] = (),
+    window: tuple[date, date] | None = None,
 ) -> DataFrame:
     """Share of each segment's users active ``first_day``..``last_day`` after their cohort date.
 
     Both offsets are inclusive and count calendar days. ``qualifying`` names the events
     of column ``event`` that count; without it every event does. Users without events
-    stay in the denominator. ``users`` holds one row per user.
+    stay in the denominator. ``users`` holds one row per user. ``window`` keeps the cohorts
+    between two dates (inclusive) and reads only the events that can count for them.
 
     Events shrink to distinct (user, day) before they meet the users, so a user with a
     third of all events contributes one row per active day to the join. The join is a
@@ -41,6 +44,14 @@ def cohort_retention(
     if qualifying and event is None:
         raise ValueError("qualifying needs the name of the event column")
     kept = events.filter(ident(event).isin(*qualifying)) if qualifying else events
+    if window:
+        low, high = window
+        users = users.filter(F.to_date(ident(cohort)).between(F.lit(low), F.lit(high)))
+        kept = kept.filter(
+            F.to_date(ident(ts)).between(
+                F.lit(low + timedelta(first_day)), F.lit(high + timedelta(last_day))
+            )
+        )
     active = kept.select(ident(user).alias("__user"), F.to_date(ident(ts)).alias("__day")).distinct()
     start = F.to_date(ident(cohort))
     inside = (ident(user) == F.col("__user")) & F.col("__day").between(

@@ -33,8 +33,11 @@ def mix_share(df: DataFrame, *, category: str, by: Sequence[str] = ()) -> DataFr
 
 
 def mix_shift(df: DataFrame, *, category: str, focus: Column, baseline: Column) -> DataFrame:
-    """Share per category in the focus and the baseline rows, and the difference."""
-    counts = df.groupBy(ident(category).alias(category)).agg(
+    """Share per category in the focus and the baseline rows, and the difference.
+
+    Rows in neither are filtered first, so date ranges reach the scan.
+    """
+    counts = df.filter(focus | baseline).groupBy(ident(category).alias(category)).agg(
         F.count_if(focus).alias("n_focus"), F.count_if(baseline).alias("n_baseline")
     )
     totals = counts.agg(
@@ -59,15 +62,17 @@ def dip_against_neighbours(
     """Mean daily total inside ``start``..``end`` against the ``days`` days on either side.
 
     ``dip_ratio`` is the dip mean over the average of the two neighbour means. Days
-    without rows are not in ``daily`` and so not in a mean.
+    without rows are not in ``daily`` and so not in a mean. Only the days compared are
+    kept, a filter that reaches the scan below ``daily``.
     """
     day = F.col("day")
+    one = timedelta(days=1)
 
     def mean(first: date, last: date) -> Column:
         return F.avg(F.when(day.between(F.lit(first), F.lit(last)), F.col("total")))
 
-    one = timedelta(days=1)
-    means = daily.groupBy(*[ident(c) for c in by]).agg(
+    compared = day.between(F.lit(start - days * one), F.lit(end + days * one))
+    means = daily.filter(compared).groupBy(*[ident(c) for c in by]).agg(
         mean(start, end).alias("dip_mean"),
         mean(start - days * one, start - one).alias("mean_before"),
         mean(end + one, end + days * one).alias("mean_after"),

@@ -81,7 +81,9 @@ _BUYERS_SQL = """
 """
 
 
-def _repeat_orders(spark: SparkSession, sf: str, users: DataFrame, by: list[str]) -> DataFrame:
+def _repeat_orders(
+    spark: SparkSession, sf: str, users: DataFrame, by: list[str], window: tuple[date, date] | None = None
+) -> DataFrame:
     return retention.cohort_retention(
         users,
         table(spark, sf, "orders").select("o_custkey", "o_orderdate"),
@@ -91,6 +93,7 @@ def _repeat_orders(spark: SparkSession, sf: str, users: DataFrame, by: list[str]
         first_day=90,
         last_day=180,
         by=by,
+        window=window,
     )
 
 
@@ -107,6 +110,21 @@ def order_repeat_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_repeat_orders(spark, sf, _buyers(spark, sf), ["c_mktsegment"]))
 
 
+@query(
+    f"""
+    WITH {_BUYERS_SQL}
+    SELECT c_mktsegment, count(*) AS n, count(k) AS retained,
+           round(count(k)::DOUBLE / count(*), 6) AS rate
+    FROM buyers LEFT JOIN retained ON k = o_custkey
+    WHERE cohort BETWEEN DATE '1995-03-01' AND DATE '1995-05-31' GROUP BY 1
+    """
+)
+def focus_window_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 in a declared window: three months of cohorts; only orders that can count are read."""
+    window = (date(1995, 3, 1), date(1995, 5, 31))
+    return rounded(_repeat_orders(spark, sf, _buyers(spark, sf), ["c_mktsegment"], window))
+
+
 _EARLY_LATE_SQL = f"""
     WITH {_BUYERS_SQL},
     complete AS (
@@ -606,7 +624,7 @@ def volume_conservation(spark: SparkSession, sf: str) -> DataFrame:
       SELECT o_orderpriority,
         count(*) FILTER (year(o_orderdate) = 1998) AS n_focus,
         count(*) FILTER (year(o_orderdate) = 1997) AS n_baseline
-      FROM orders GROUP BY 1),
+      FROM orders WHERE year(o_orderdate) IN (1997, 1998) GROUP BY 1),
     s AS (
       SELECT *, n_focus::DOUBLE / (SELECT sum(n_focus) FROM c) AS f,
                 n_baseline::DOUBLE / (SELECT sum(n_baseline) FROM c) AS b FROM c)
@@ -617,13 +635,13 @@ def volume_conservation(spark: SparkSession, sf: str) -> DataFrame:
 )
 def mix_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Order mix by priority, one year against the year before."""
-    year = F.year("o_orderdate")
+    day = F.to_date("o_orderdate")
     return rounded(
         series.mix_shift(
             table(spark, sf, "orders"),
             category="o_orderpriority",
-            focus=year == 1998,
-            baseline=year == 1997,
+            focus=day.between(F.lit(date(1998, 1, 1)), F.lit(date(1998, 12, 31))),
+            baseline=day.between(F.lit(date(1997, 1, 1)), F.lit(date(1997, 12, 31))),
         )
     )
 

@@ -64,14 +64,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` written to the checkpoint folder, and broadcast if it proves small (an action).
 
     For lookup tables the planner cannot size, such as the result of another job: without
-    a size it would shuffle the big side before finding out. Beyond ``max_rows`` the join
-    is left to the planner, which splits skewed partitions at run time.
+    a size it would shuffle the big side before finding out. Rows and bytes (of the
+    values as text) are measured on what was written. Beyond either limit the join is
+    left to the planner, which splits skewed partitions at run time.
     """
     written = checkpointed(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    text = F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns])
+    rows, size = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(written) if rows <= max_rows and size <= max_bytes else written

@@ -131,9 +131,16 @@ def test_did_invalid_and_thin_segments(spark):
 
 
 def test_did_null_metric_counts_in_cells_only(spark):
-    rows = did_rows() + [(1, 1, 11, None)]
+    rows = did_rows() + [(1, 1, 11, None)] + [(1, 0, 11, float("nan"))]
     r = did(spark.createDataFrame(rows, "g int, p int, day int, y double")).first()
-    assert (r.nobs, r.n_treat_post, r.estimate) == (40, 11, pytest.approx(5.0))
+    assert (r.nobs, r.n_treat_post, r.n_treat_pre, r.estimate) == (40, 11, 11, pytest.approx(5.0))
+
+
+def test_did_text_metrics(spark):
+    rows = [("a", g, p, str(y)) for g, p, _, y in did_rows()] + [("b", g, p, str(y)) for g, p, _, y in did_rows()]
+    df = spark.createDataFrame(rows + [("b", 1, 1, "n/a")], "seg string, g int, p int, y string")
+    out = {r.seg: (r.valid, r.estimate) for r in did(df, by=["seg"]).collect()}
+    assert out == {"a": (True, pytest.approx(5.0)), "b": (False, None)}
 
 
 def test_did_reads_text_codes(spark):

@@ -137,7 +137,7 @@ def test_latest_reached_mapping_wins_and_nulls_match(spark):
 def test_mapping_beyond_the_broadcast_size_is_joined_all_the_same(spark, monkeypatch):
     from movecheck import session
 
-    monkeypatch.setattr(session.sized, "__defaults__", (0,))
+    monkeypatch.setattr(session.sized, "__defaults__", (0, 0))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         test_latest_reached_mapping_wins_and_nulls_match(spark)

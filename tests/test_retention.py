@@ -83,6 +83,19 @@ def test_plan_joins_on_the_user_key(warehouse):
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_window_keeps_cohorts_and_prunes_the_scan(spark, warehouse, tmp_path):
+    users, events = warehouse
+    late = users.union(spark.createDataFrame([(6, DAY + timedelta(days=1), "ios")], USERS))
+    path = str(tmp_path / "events")
+    events.write.parquet(path)
+    df = rates(late, spark.read.parquet(path), window=(DAY, DAY))
+    row = df.first()
+    assert (row.n, row.retained) == (5, 3)
+    plan = df._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(ts,2025-01-13" in line for line in pushed), plan
+
+
 def test_complete_cohorts(spark, warehouse):
     users = spark.createDataFrame([(1, DAY, "ios"), (2, DAY + timedelta(days=2), "ios")], USERS)
     kept = retention.complete_cohorts(users, cohort="signup", last_day=13, events=warehouse[1], ts="ts")
