@@ -13,7 +13,10 @@ from movecheck.functions.columns import ident, join_by, ratio
 
 def first_seen(events: DataFrame, *, user: str, ts: str, cohort: str = "cohort") -> DataFrame:
     """One row per user with the date of their first event; events without a user are no one's."""
-    return events.filter(ident(user).isNotNull()).groupBy(ident(user).alias(user)).agg(F.min(F.to_date(ident(ts))).alias(cohort))
+    known = events.filter(ident(user).isNotNull())
+    return known.groupBy(ident(user).alias(user)).agg(
+        F.to_date(F.min(ident(ts))).alias(cohort)
+    )
 
 
 def cohort_retention(
@@ -38,8 +41,10 @@ def cohort_retention(
     between two dates (inclusive) and reads only the events that can count for them.
 
     Events shrink to distinct (user, day) before they meet the users, so a user with a
-    third of all events contributes one row per active day to the join. The join is a
-    semi-join on the user key; the denominator never goes through it.
+    third of all events contributes one row per active day to the join. Each active day
+    knows the one before it; only the first inside a user's span joins. A user row thus
+    meets at most one day, the left join keeps their number, and one pass over the users
+    gives numerator and denominator.
     """
     if qualifying and event is None:
         raise ValueError("qualifying needs the name of the event column")
@@ -52,19 +57,21 @@ def cohort_retention(
                 F.lit(low + timedelta(first_day)), F.lit(high + timedelta(last_day))
             )
         )
-    active = kept.select(ident(user).alias("__user"), F.to_date(ident(ts)).alias("__day")).distinct()
-    start = F.to_date(ident(cohort))
-    inside = (ident(user) == F.col("__user")) & F.col("__day").between(
-        F.date_add(start, first_day), F.date_add(start, last_day)
-    )
-    returned = users.join(active, inside, "left_semi")
-    segments = [ident(c) for c in by]
-    counted = users.select(*segments, F.lit(1).alias("n"), F.lit(0).alias("retained")).unionByName(
-        returned.select(*segments, F.lit(0).alias("n"), F.lit(1).alias("retained"))
+    days = kept.select(ident(user).alias("__user"), F.to_date(ident(ts)).alias("__day")).distinct()
+    # At most one row per calendar day and user in this window.
+    by_day = Window.partitionBy("__user").orderBy("__day")
+    active = days.withColumn("__previous", F.lag("__day").over(by_day))
+    start = F.date_add(F.to_date(ident(cohort)), first_day)
+    end = F.date_add(F.to_date(ident(cohort)), last_day)
+    first_inside = (
+        (ident(user) == F.col("__user"))
+        & F.col("__day").between(start, end)
+        & (F.col("__previous").isNull() | (F.col("__previous") < start))
     )
-    totals = counted.groupBy(*segments).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"),
-        F.coalesce(F.sum("retained"), F.lit(0)).cast("bigint").alias("retained"),
+    totals = (
+        users.join(active, first_inside, "left")
+        .groupBy(*[ident(c) for c in by])
+        .agg(F.count(F.lit(1)).alias("n"), F.count("__day").alias("retained"))
     )
     return totals.withColumn("rate", ratio(F.col("retained"), F.col("n")))
 
