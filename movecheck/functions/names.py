@@ -41,6 +41,8 @@ WHOLE_NAMES = ("=name",)
 # Names that announce a date column.
 DATE_NAMES = ("d", "dt", "date", "day", "ds")
 DATE_SUFFIXES = ("_date", "_dt", "_day", "_at", "_ts")
+# Fixed value: names that announce a denominator.
+DENOMINATOR_NAME = r"n|n_.*|.*_n"
 
 _BREAK = r"[^a-z0-9]+"
 
@@ -105,11 +107,10 @@ def is_date_name(name: str) -> bool:
 
 def is_denominator_name(name: str) -> bool:
     """``n``, ``n_*`` and ``*_n`` announce the size behind an aggregate."""
-    lowered = name.lower()
-    return lowered == "n" or lowered.startswith("n_") or lowered.endswith("_n")
+    return re.fullmatch(DENOMINATOR_NAME, name, re.DOTALL | re.IGNORECASE) is not None
 
 
 def view_name(stem: str) -> str:
-    """The view name of a file stem: lower case, runs of other characters to ``_``."""
-    cleaned = re.sub(_BREAK, "_", stem.lower()).strip("_")
-    return cleaned if cleaned[:1].isalpha() else f"t_{cleaned}"
+    """The view name of a file stem: its letters and digits in lower case, joined by ``_``."""
+    name = "_".join(re.findall(r"[a-z0-9]+", stem.lower()))
+    return name if re.match(r"[a-z]", name) else "t_" + name

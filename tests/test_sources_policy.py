@@ -87,7 +87,8 @@ def test_view_name_collision_names_both_files(spark, tmp_path):
 def test_counts_and_profile(spark, folder):
     found = tables.register_folder(spark, str(folder))
     raw = {"users": spark.read.option("header", True).csv(str(folder / "users.csv")), "subs": found["subs"]}
-    assert {r.table: r.n_rows for r in tables.count_rows(raw).collect()} == {"users": 2, "subs": 2}
+    counts = tables.count_rows({**raw, "none": raw["subs"].limit(0)})
+    assert {r.table: r.n_rows for r in counts.collect()} == {"users": 2, "subs": 2, "none": 0}
     profile = tables.table_profile(spark, raw, extras=["mrr"]).orderBy("table", "ordinal").collect()
     assert [(r.table, r.column, r.blocked) for r in profile if r.blocked] == [
         ("subs", "mrr", True), ("users", "email", True)
