@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +68,8 @@ def audited_run(
 ):
     """Run, audit and publish ``results/<name>`` and ``results/<name>.guard.json``.
 
-    * A query that uses a blocked column does not run: the old result goes, the report
-      has a null ``row_count``.
+    * A query that uses a blocked column, or text that is not one query, does not run: the
+      old result goes, the report has a null ``row_count``.
     * A query that fails while running leaves no result either, only a report.
     * Otherwise the result is published, also when a check on it is an error.
 
@@ -125,6 +125,9 @@ def audited_run(
     try:
         result = run_query(spark, query)
         blocked = blocked_names(result.columns, extras)
+    except ParseException as error:
+        detail = f"not a single query ({error.getCondition()})"
+        rejected([check("G-2", "select-only", "error", detail)], "not evaluated — G-2 failed")
     except AnalysisException as error:
         blocked = _unknown_blocked_name(error, extras)
         if not blocked:

@@ -80,8 +80,16 @@ def register_folder(
 
 
 def run_query(spark: SparkSession, query: str | Callable[[SparkSession], DataFrame]) -> DataFrame:
-    """A query over the registered views: SQL text or a function that builds a DataFrame."""
-    return spark.sql(query) if isinstance(query, str) else query(spark)
+    """A query over the registered views: SQL text or a function that builds a DataFrame.
+
+    Text must be one query. It is read as the body of a WITH clause, where Spark's grammar
+    has no room for a second statement, a write, DDL or a command: those fail before
+    anything runs, although ``spark.sql`` alone would carry them out at once.
+    """
+    if callable(query):
+        return query(spark)
+    body = query.rstrip().removesuffix(";")
+    return spark.sql(f"WITH __query AS (\n{body}\n) SELECT * FROM __query")
 
 
 def count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -120,13 +128,20 @@ def catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def table_profile(
-    spark: SparkSession, tables: Mapping[str, DataFrame], *, extras: Sequence[str] = ()
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    *,
+    extras: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Every column of every table with type, row count of its table and blocked tag."""
-    counts = count_rows(tables)
+    """Every column of every table with type, row count of its table and blocked tag.
+
+    Rows are counted unless ``counts`` brings ``(table, n_rows)``, such as a database's
+    own estimates.
+    """
     return (
         catalog(spark, tables)
-        .join(counts, "table")
+        .join(count_rows(tables) if counts is None else counts, "table", "left")
         .withColumn("blocked", is_blocked(F.col("column"), extras))
     )
 

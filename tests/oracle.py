@@ -13,9 +13,6 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-# Arrow type names that mean the same in both engines.
-_SAME = {"int32": "int32", "int64": "int64", "decimal128(38, 0)": "int64"}
-
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -59,7 +56,7 @@ def compare(spark, function, sql: str, sf_dir: str, connection=None) -> tuple[in
     """Number of rows and a list of differences (empty when all agree)."""
     connection = connection or connect(sf_dir)
     ours_kinds, ours = rows(function(spark, sf_dir).toArrow())
-    theirs_kinds, theirs = rows(connection.execute(sql).to_arrow_table())
+    theirs_kinds, theirs = rows(connection.sql(sql).to_arrow_table())
     problems = []
     if ours_kinds != theirs_kinds:
         differing = {

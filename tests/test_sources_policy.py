@@ -94,6 +94,9 @@ def test_counts_and_profile(spark, folder):
         ("subs", "mrr", True), ("users", "email", True)
     ]
     assert {r.n_rows for r in profile} == {2} and len(profile) == 8
+    estimates = spark.createDataFrame([("users", 1000)], "table string, n_rows long")
+    profile = tables.table_profile(spark, raw, counts=estimates).collect()
+    assert {(r.table, r.n_rows) for r in profile} == {("users", 1000), ("subs", None)}
 
 
 def test_catalog_with_extra_patterns(spark):
