@@ -3,8 +3,8 @@
 A name is lower-cased and cut into tokens at every run of characters other than
 ``a-z0-9``. The policy is a set of *keys*: a token (``email``), an adjacent token
 pair (``first+name``), or a name that consists of one token only (``=name``). A name
-is blocked when any of its own keys is in that set, so the test is one set overlap
-for an expression and one equi-join for a catalog.
+is blocked when any of its own keys is in that set. For a given policy that is one
+regular expression; for a policy held in a table it is an equi-join on the keys.
 """
 
 from __future__ import annotations
@@ -82,22 +82,27 @@ def name_keys(name: Column) -> Column:
     return let(tokens(name), keys)
 
 
+def policy_pattern(extras: Iterable[str] = ()) -> str:
+    """The policy as one regular expression over a lower-case name.
+
+    A token is a run of ``a-z0-9`` with something else, or an end, on both sides; a pair
+    is two tokens with only other characters between them.
+    """
+    parts = (key for key in policy_keys(extras) if key not in WHOLE_NAMES)
+    words = "|".join("[^a-z0-9]+".join(map(re.escape, key.split("+"))) for key in parts)
+    whole = "|".join(key.removeprefix("=") for key in WHOLE_NAMES)
+    return rf"(?:^|[^a-z0-9])(?:{words})(?![a-z0-9])|^[^a-z0-9]*(?:{whole})[^a-z0-9]*\z"
+
+
 def is_blocked(name: Column, extras: Iterable[str] = ()) -> Column:
     """True when a column of this name may never be used. Null and empty names pass."""
-    policy = F.array(*[F.lit(key) for key in policy_keys(extras)])
-    return F.coalesce(F.arrays_overlap(name_keys(name), policy), F.lit(False))
+    return F.coalesce(F.lower(name).rlike(policy_pattern(extras)), F.lit(False))
 
 
 def blocked_names(names: Sequence[str], extras: Iterable[str] = ()) -> list[str]:
     """The blocked ones among a schema's names, in order (plan-time metadata only)."""
-    policy = set(policy_keys(extras))
-
-    def keys(name: str) -> set[str]:
-        toks = [t for t in re.split(_BREAK, name.lower()) if t]
-        found = set(toks) | {f"{a}+{b}" for a, b in zip(toks, toks[1:])}
-        return found | ({f"={toks[0]}"} if len(toks) == 1 else set())
-
-    return [name for name in names if keys(name) & policy]
+    pattern = re.compile(policy_pattern(extras).replace(r"\z", r"\Z"))
+    return [name for name in names if pattern.search(name.lower())]
 
 
 def is_date_name(name: str) -> bool:

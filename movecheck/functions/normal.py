@@ -12,6 +12,8 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from movecheck.functions.columns import let
+
 # Cody's coefficients, highest power first, numerator then denominator.
 # erf(x) = x * P(x^2) / Q(x^2) for x <= 0.46875
 _ERF_SMALL = (
@@ -45,18 +47,26 @@ def _poly(x: Column, coefficients: tuple[float, ...]) -> Column:
     return value
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function, any sign."""
-    x = x.cast("double")
-    a = F.abs(x)
-    square = a * a
-    # The large-x form is only used above 4; clamping keeps ANSI division safe at 0.
-    inverse = F.lit(1.0) / F.greatest(square, F.lit(1.0))
+def _erfc_of_magnitude(a: Column, square: Column) -> Column:
     small = F.lit(1.0) - a * _poly(square, _ERF_SMALL[0]) / _poly(square, _ERF_SMALL[1])
     middle = F.exp(-square) * _poly(a, _ERFC_MID[0]) / _poly(a, _ERFC_MID[1])
-    tail = inverse * _poly(inverse, _ERFC_LARGE[0]) / _poly(inverse, _ERFC_LARGE[1])
-    large = F.exp(-square) / F.greatest(a, F.lit(1.0)) * (F.lit(1.0 / math.sqrt(math.pi)) - tail)
-    positive = F.when(a <= 0.46875, small).when(a <= 4.0, middle).otherwise(large)
+
+    def large(inverse: Column) -> Column:
+        tail = inverse * _poly(inverse, _ERFC_LARGE[0]) / _poly(inverse, _ERFC_LARGE[1])
+        return F.exp(-square) / a * (F.lit(1.0 / math.sqrt(math.pi)) - tail)
+
+    beyond = let(F.lit(1.0) / square, large)
+    return F.when(a <= 0.46875, small).when(a <= 4.0, middle).otherwise(beyond)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function, any sign; null for null.
+
+    The argument and its square are bound once: spelled out at each step, the polynomials
+    would repeat them dozens of times in generated code too long for the JVM to compile.
+    """
+    x = x.cast("double")
+    positive = let(F.abs(x), lambda a: let(a * a, lambda square: _erfc_of_magnitude(a, square)))
     return F.when(x >= 0, positive).when(x < 0, F.lit(2.0) - positive)
 
 

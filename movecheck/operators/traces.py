@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.functions.columns import ident
+from movecheck.functions.columns import ident, let
 from movecheck.functions.names import is_blocked
 
 # The keys every record has.
@@ -24,26 +24,35 @@ def missing_keys(line: Column) -> Column:
     return F.array_except(required, F.json_object_keys(line))
 
 
-def json_strings(line: Column) -> Column:
-    """Every key and string value of a JSON text at any depth, unescaped.
+# One JSON string after the other: a short one without spaces is captured, any other is
+# passed over. Six characters may stand for one (a coded character).
+_SHORT_STRING = rf'"(?:([^" ]{{1,{6 * MAX_NAME_LENGTH}}})"|[^"]*")'
+
+
+def json_names(line: Column) -> Column:
+    """Every name-shaped key and string value of a JSON text at any depth, unescaped.
 
     Two-character escapes all stand for characters a name is cut at, so one such
     character replaces each of them first. What is left between quotes then needs no
     nested pattern, which on long prose would exhaust the regex engine's stack.
     """
-    flat = F.regexp_replace(line, r"\\[^u]", "\u241b")
-    quoted = F.regexp_extract_all(flat, F.lit(r'("[^"]*")'), F.lit(1))
-    return F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")
+
+    def names(flat: Column) -> Column:
+        found = F.filter(F.regexp_extract_all(flat, F.lit(_SHORT_STRING), F.lit(1)), lambda s: s != "")
+        listed = F.concat(F.lit('["'), F.array_join(found, '","'), F.lit('"]'))
+        decoded = F.from_json(listed, "array<string>")
+        return F.when(F.contains(flat, F.lit("\\u")), decoded).otherwise(found)
+
+    return F.filter(
+        let(F.regexp_replace(line, r"\\[^u]", "\u241b"), names),
+        lambda s: (F.length(s) <= MAX_NAME_LENGTH) & ~F.contains(s, F.lit(" ")),
+    )
 
 
 def blocked_tokens(line: Column, extras: Iterable[str] = ()) -> Column:
     """Name-shaped keys and values of a JSON line that the personal-data policy blocks."""
     extras = tuple(extras)
-    shaped = F.filter(
-        json_strings(line),
-        lambda s: (F.length(s) <= MAX_NAME_LENGTH) & ~F.contains(s, F.lit(" ")),
-    )
-    return F.filter(shaped, lambda s: is_blocked(s, extras))
+    return F.filter(json_names(line), lambda s: is_blocked(s, extras))
 
 
 def trace_contract(

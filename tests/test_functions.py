@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from statistics import NormalDist
 
 import pytest
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 
 from movecheck.functions.columns import ratio, round_report, six_digits
 from movecheck.functions.names import (
+    SINGLE_TOKENS,
+    TOKEN_PAIRS,
     blocked_names,
     is_blocked,
     is_date_name,
     is_denominator_name,
+    name_keys,
     pattern_key,
+    policy_keys,
     view_name,
 )
 from movecheck.functions.normal import critical_value, erfc, normal_cdf, two_sided_p
@@ -118,15 +123,35 @@ def test_null_and_empty_names_pass(spark):
     assert [r.b for r in df.select(is_blocked(F.col("n")).alias("b")).collect()] == [False] * 3
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.text("abeimlnp_.-1 FirstName", max_size=16), min_size=1, max_size=20))
-def test_both_forms_of_the_policy_agree(spark, names):
+def by_tokens(name):
+    toks = re.findall("[a-z0-9]+", name.lower())
+    pairs = {f"{a}+{b}" for a, b in zip(toks, toks[1:])}
+    return bool(set(toks) & set(SINGLE_TOKENS) or pairs & set(TOKEN_PAIRS) or toks == ["name"])
+
+
+@settings(max_examples=40, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.sampled_from(["e", "mail", "email", "First", "name", "ip", "zip", "code", "tax", "id", "_", "__", "-", " ", "\n", "é", "1", ""]), max_size=6)
+        .map("".join),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_all_forms_of_the_policy_agree(spark, names):
+    policy = F.array(*[F.lit(k) for k in policy_keys()])
     rows = (
         spark.createDataFrame([(n,) for n in names], "n string")
-        .select("n", is_blocked(F.col("n")).alias("b"))
+        .select(
+            "n",
+            is_blocked(F.col("n")).alias("pattern"),
+            F.arrays_overlap(name_keys(F.col("n")), policy).alias("keys"),
+        )
         .collect()
     )
-    assert [r.n for r in rows if r.b] == blocked_names(names)
+    for row in rows:
+        expected = by_tokens(row.n)
+        assert row.pattern == row.keys == bool(blocked_names([row.n])) == expected
 
 
 def test_name_conventions():
