@@ -98,7 +98,8 @@ def count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     Every table brings one row that counts nothing, so empty ones are listed too.
     """
     spark = next(iter(tables.values())).sparkSession
-    listed = spark.createDataFrame([(name, 0) for name in tables], "table string, one int")
+    names = F.array(*[F.lit(name) for name in tables])
+    listed = spark.range(1).select(F.explode(names).alias("table"), F.lit(0).alias("one"))
     rows = [df.select(F.lit(name).alias("table"), F.lit(1).alias("one")) for name, df in tables.items()]
     return (
         reduce(DataFrame.union, [listed, *rows])
