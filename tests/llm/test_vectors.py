@@ -1,0 +1,114 @@
+"""Embedding links and nearest codes against brute force."""
+
+import math
+
+import numpy as np
+import pandas as pd
+
+from movecheck.llm import embed_dedup, topk
+from movecheck.llm.queries import QUERIES
+
+
+def brute(vectors, least=0.95):
+    """{position: (links, component)} for a list of (id, vector or None)."""
+    usable = [i for i, (k, v) in enumerate(vectors) if k is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links = {i: set() for i in range(len(vectors))}
+    for i in usable:
+        for j in usable:
+            a, b = np.array(vectors[i][1], float), np.array(vectors[j][1], float)
+            if i != j and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= least:
+                links[i].add(j)
+    out = {}
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        ids = [vectors[j][0] for j in seen if vectors[j][0] is not None]
+        out[i] = (len(links[i]), min(ids) if ids else None)
+    return out
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    found = QUERIES["op5_embedding_near_dedup"](spark, sf_dir).toPandas().set_index("vec_id")
+    table = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
+    rows = list(zip(table.vec_id.tolist(), table.embedding.tolist()))
+    wanted = brute(rows)
+    for i, (vec, _) in enumerate(rows):
+        assert tuple(found.loc[vec]) == (*wanted[i], wanted[i][1] == vec)
+
+
+def test_recall_on_random_near_vectors(spark):
+    """Links just above the threshold, in several dimensions: nearly all are found, none is false."""
+    draw = np.random.default_rng(1)
+    for dim in (8, 64):
+        rows = []
+        for pair in range(200):
+            a = draw.standard_normal(dim)
+            a /= np.linalg.norm(a)
+            b = draw.standard_normal(dim)
+            b -= (a @ b) * a
+            b /= np.linalg.norm(b)
+            cosine = 0.951 if pair % 2 else 0.949
+            rows += [(2 * pair, a.tolist()), (2 * pair + 1, (cosine * a + math.sqrt(1 - cosine**2) * b).tolist())]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        out = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+        matrix = np.array([v for _, v in rows])
+        exact = (matrix @ matrix.T >= 0.95).sum(axis=1) - 1
+        assert all(out[i] <= exact[i] for i, _ in rows)
+        assert sum(out.values()) >= 0.92 * exact.sum()
+
+
+def test_crowded_filters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 7)
+    draw = np.random.default_rng(2)
+    centre = draw.standard_normal(16)
+    rows = [(i, (centre + 0.05 * draw.standard_normal(16)).tolist()) for i in range(60)] + [(100 + i, centre.tolist()) for i in range(40)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    wanted = brute(rows)
+    assert out == {k: wanted[i] for i, (k, _) in enumerate(rows)}
+
+
+def test_edge_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []),
+        (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0]), (12, [1e150, 0.0]), (13, [5.0]),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, node string")
+    out = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in embed_dedup.near_duplicates(df).collect())
+    wanted = brute(rows)
+    assert out == sorted((k or -1, wanted[i][0], wanted[i][1] or -1, k is not None and k == wanted[i][1]) for i, (k, _) in enumerate(rows))
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def plain_search(queries, codes, k):
+    out = []
+    for q, a in queries:
+        ranked = sorted(((a ^ b).bit_count(), i) for i, b in codes if i != q)
+        out += [(q, n + 1, i, d) for n, (d, i) in enumerate(ranked[:k])]
+    return sorted(out)
+
+
+def test_search_matches_brute_force(spark):
+    draw = np.random.default_rng(3)
+    codes = [(i, int(c)) for i, c in enumerate(draw.integers(0, 2**62, 300))]
+    codes += [(300 + i, codes[5][1]) for i in range(40)]  # copies: more ties than k
+    codes += [(400 + i, codes[6][1] ^ (1 << i)) for i in range(50)]
+    queries = [codes[i] for i in (0, 5, 6, 7, 320, 410)] + [(9999, 0)]
+    df, qs = (spark.createDataFrame([*x, (None, 3), (77777, None)], "id bigint, code bigint") for x in (codes, queries))
+    for segments in (None, 4, 16):
+        found = sorted(map(tuple, topk.search(qs, df, k=7, segments=segments).collect()))
+        assert found == plain_search(queries, codes, 7)
+    few = codes[:4]
+    small = spark.createDataFrame(few, "id bigint, code bigint")
+    assert sorted(map(tuple, topk.search(small, small, k=7).collect())) == plain_search(few, few, 7)
+    assert topk.search(small.limit(0), small).count() == 0
+    assert topk.search(small, small.limit(0)).count() == 0
+
+
+def test_codes_of_odd_vectors(spark):
+    rows = [(1, [1.0] * 64), (2, [-1.0] * 63 + [2.0]), (3, None), (4, []), (5, [float("nan")] * 64), (6, [1.0] * 65), (7, [3.0, -1.0])]
+    codes = {r.id: r.code % (1 << 64) for r in topk.sign_codes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert codes == {1: (1 << 64) - 1, 2: 1 << 63, 6: (1 << 64) - 1, 7: 1}
