@@ -8,6 +8,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from movecheck.plans.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -19,13 +20,14 @@ def connection():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
     n, problems = oracle.compare(
-        spark, contract.queries()[name], contract.oracle_sql()[name], SF_DIR, connection
+        spark, QUERIES[name], ORACLES[name], SF_DIR, connection
     )
     assert not problems
     if name != "rename_detection":  # volumes may be too small to match at the smallest scale
