@@ -21,6 +21,10 @@ from movecheck.llm.common import runs
 #: A block of documents whose pre-tokens share one posting list ends at either of these.
 BLOCK_CHARS = 32_000_000
 BLOCK_ROWS = 60_000
+#: Partial sums that a task holds before it hands them on.
+HELD_SUMS = 2_000_000
+#: Row within its block, and how often the pre-token stands there.
+_POSTING = np.dtype([("row", "<u2"), ("n", "u1")])
 _STRETCH = re.compile(f"[^{WHITE}]+")
 
 
@@ -85,10 +89,7 @@ def splitter(path: str) -> Splitter:
 
 
 def _pack(posted: array) -> bytes:
-    """Posting list as bytes: row numbers (two bytes each), then counts (one byte each).
-
-    A count above 255 is spread over several postings.
-    """
+    """Posting list as bytes, three for each posting; a count above 255 is spread over several."""
     both = np.frombuffer(posted, dtype=np.uint64)
     at, n = (both >> np.uint64(32)).astype(np.uint16), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if n.max() > 255:
@@ -97,12 +98,15 @@ def _pack(posted: array) -> bytes:
         spread = np.full(int(times.sum()), 255, dtype=np.int64)
         spread[np.cumsum(times) - 1] = n - 255 * (times - 1)
         n = spread
-    return at.tobytes() + n.astype(np.uint8).tobytes()
+    out = np.empty(len(at), dtype=_POSTING)
+    out["row"], out["n"] = at, n
+    return out.tobytes()
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 3
-    return np.frombuffer(packed, np.uint16, n), np.frombuffer(packed, np.uint8, n, 2 * n)
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their values."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=values, minlength=len(distinct)).astype(np.int64)
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -111,8 +115,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     1. Each task folds a block of documents to posting lists, one for each distinct pre-token
        that isn't a whole vocabulary entry: in which rows of the block it stands, how often.
        A pre-token in every document is one row per block.
-    2. After one shuffle by pre-token its pieces are counted once and joined to its lists.
-    3. Each task adds count times frequency up per block, and the sums per block are added.
+    2. One shuffle brings the lists of a pre-token together, one after the other: its pieces
+       are counted once, at the first list, and met with all of them. (Counting in a table
+       of its own and joining that would move every list twice.)
+    3. Each task adds count times frequency up per row, and the sums per row are added.
 
     Token ids are never made. Null and empty texts have no tokens; repeated rows and repeated
     or null ids are counted row by row; other columns are ignored; an empty table gives no rows.
@@ -131,7 +137,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal lists, ids, sizes, direct, chars, block
-            name = (task << 32) + block
+            name = (task << 20) + block
             keys = list(lists)
             for start in range(0, len(keys), 20_000):
                 some = keys[start : start + 20_000]
@@ -165,47 +171,43 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
             yield from flush()
 
     base_type = f"array<struct<id:{kind.simpleString()},n_bytes:bigint,n:bigint>>"
-    posted = rows.mapInArrow(post, f"key string, block bigint, postings binary, base {base_type}").repartition("key")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter(path)
-        for batch in batches:
-            pieces = [split.pieces(k.as_py()) for k in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int32())], ["key", "pieces"])
-
-    pieces = posted.filter("postings is not null").select("key").distinct().mapInArrow(count, "key string, pieces int")
-    joined = posted.join(pieces, "key", "left").select("block", "pieces", "postings", "base")
+    posted = rows.mapInArrow(post, f"key string, block bigint, postings binary, base {base_type}")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        split = splitter(path)
+        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def flush() -> pa.RecordBatch:
-            found = [(b, int(r), int(v[r])) for b, v in sums.items() for r in np.flatnonzero(v)]
-            sums.clear()
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), base_arrow)], ["block", "row", "n", "base"])
+        def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(keys >> 16), pa.array((keys & 0xFFFF).astype(np.int32)), pa.array(sums)]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(keys), base_arrow)], ["block", "row", "n", "base"])
 
+        last, pieces = None, 0
         for batch in batches:
             bases = batch.filter(batch.column("postings").is_null())
             if bases.num_rows:
                 empty = [pa.nulls(bases.num_rows, pa.int32()), pa.nulls(bases.num_rows, pa.int64())]
                 columns = [bases.column("block"), *empty, bases.column("base").cast(base_arrow)]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "row", "n", "base"])
-            blocks, counts = batch.column("block").to_pylist(), batch.column("pieces").to_pylist()
-            for block, n, packed in zip(blocks, counts, batch.column("postings").to_pylist()):
-                if packed is None:
-                    continue
-                at, times = _unpack(packed)
-                known = sums.get(block)
-                if known is None:
-                    sums[block] = known = np.zeros(BLOCK_ROWS + 1, dtype=np.int64)
-                np.add.at(known, at, times.astype(np.int64) * n)
-            if len(sums) > 200:
-                yield flush()
-        if sums:
-            yield flush()
-
-    partial = joined.mapInArrow(add, f"block bigint, row int, n bigint, base {base_type}")
+            lists = batch.filter(batch.column("postings").is_valid())
+            counted = []
+            for pre_token in lists.column("key").to_pylist():
+                if pre_token != last:
+                    last, pieces = pre_token, split.pieces(pre_token)
+                counted.append(pieces)
+            packed = lists.column("postings").to_pylist()
+            posted_ = np.frombuffer(b"".join(packed), dtype=_POSTING)
+            lengths = np.array([len(p) // 3 for p in packed], dtype=np.int64)
+            blocks = np.repeat(lists.column("block").to_numpy(), lengths)
+            more = _sums(blocks << 16 | posted_["row"], np.repeat(np.array(counted, np.int64), lengths) * posted_["n"])
+            keys, sums = _sums(np.concatenate([keys, more[0]]), np.concatenate([sums, more[1]]))
+            if len(keys) > HELD_SUMS:
+                yield out(keys, sums)
+                keys, sums = keys[:0], sums[:0]
+        if len(keys):
+            yield out(keys, sums)
+
+    met = posted.repartition("key").sortWithinPartitions("key")
+    partial = met.mapInArrow(add, f"block bigint, row int, n bigint, base {base_type}")
     first = F.col("base").isNull()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,8 +60,8 @@ def test_large_counts_are_spread_over_postings():
     from array import array
 
     packed = token_counts._pack(array("Q", [(5 << 32) | 1000, (6 << 32) | 255, (7 << 32) | 256]))
-    at, n = token_counts._unpack(packed)
-    assert {r: int(n[at == r].sum()) for r in (5, 6, 7)} == {5: 1000, 6: 255, 7: 256}
+    found = token_counts.np.frombuffer(packed, token_counts._POSTING)
+    assert {r: int(found["n"][found["row"] == r].sum()) for r in (5, 6, 7)} == {5: 1000, 6: 255, 7: 256}
 
 
 def test_encoding_matches_library(spark, sf_dir, reference):
