@@ -90,7 +90,8 @@ def without_boilerplate(
     boilerplate = broadcast_if_small(spread_lines(lines, min_sites, lg_k))
     hits = lines.join(boilerplate, ["k1", "k2"]).filter("id <> first")
     by_document = hits.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
-    by_document = broadcast_if_small(by_document, items="__gone")
+    # Always by shuffle on the id: the texts move once, at every size.
+    by_document = by_document.hint("merge")
     joined = docs.join(by_document, docs[id] == by_document["__id"], "left")
     gone = F.col("__gone").isNotNull()
     cleaned = F.when(gone, _without(F.when(gone, joined[text]), F.col("__gone"))).otherwise(joined[text])
