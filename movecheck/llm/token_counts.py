@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ BLOCK_ROWS = 60_000
 HELD_SUMS = 2_000_000
 #: Row within its block, and how often the pre-token stands there.
 _POSTING = np.dtype([("row", "<u2"), ("n", "u1")])
+#: A row of a block and its partial sum.
+_SUM = np.dtype([("row", "<u2"), ("n", "<i8")])
+_CONTROL = re.compile("[\x1c-\x1f]")
 _STRETCH = re.compile(f"[^{WHITE}]+")
 
 
@@ -60,22 +64,28 @@ class Splitter:
             self.memo.keep(stretch, known)
         return known
 
-    def frequencies(self, text: str) -> tuple[int, dict[str, int]]:
-        """Pieces counted already, and how often each remaining pre-token occurs."""
-        direct, stretches, rest = 0, {}, {}
-        parts = [text]
+    def post(self, text: str, row: int, lists: dict[str, array]) -> int:
+        """Pieces counted already; each remaining pre-token's frequency goes to its posting list."""
+        direct, parts = 0, [text]
         if self.added and self.added.search(text):
             parts = self.added.split(text)
             direct = len(parts) - 1
+        recall = self.memo.get
         for part in parts:
-            for stretch in _STRETCH.findall(part):
-                stretches[stretch] = stretches.get(stretch, 0) + 1
-        for stretch, n in stretches.items():
-            whole, left = self._of_stretch(stretch)
-            direct += whole * n
-            for pre_token in left:
-                rest[pre_token] = rest.get(pre_token, 0) + n
-        return direct, rest
+            # str.split takes four control characters for white space that aren't.
+            stretches = _STRETCH.findall(part) if _CONTROL.search(part) else part.split()
+            for stretch, n in Counter(stretches).items():
+                known = recall(stretch)
+                if known is None:
+                    known = self._of_stretch(stretch)
+                direct += known[0] * n
+                for pre_token in known[1]:
+                    posted = lists.get(pre_token)
+                    if posted is None:
+                        lists[pre_token] = array("Q", (row << 32 | n,))
+                    else:
+                        posted.append(row << 32 | n)
+        return direct
 
 
 _splitters: dict[str, Splitter] = {}
@@ -154,16 +164,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
         for batch in batches:
             for id_, value in zip(batch.column(0), batch.column(1)):
                 value = value.as_py() or ""
-                counted, rest = split.frequencies(value)
-                row = len(ids)
-                for pre_token, n in rest.items():
-                    known = lists.get(pre_token)
-                    if known is None:
-                        lists[pre_token] = known = array("Q")
-                    known.append(row << 32 | n)
+                direct.append(split.post(value, len(ids), lists))
                 ids.append(id_.as_py())
                 sizes.append(len(value.encode("utf-8", "surrogatepass")))
-                direct.append(counted)
                 chars += len(value)
                 if chars >= BLOCK_CHARS or len(ids) >= BLOCK_ROWS:
                     yield from flush()
@@ -178,16 +181,21 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
         keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(keys >> 16), pa.array((keys & 0xFFFF).astype(np.int32)), pa.array(sums)]
-            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(keys), base_arrow)], ["block", "row", "n", "base"])
+            """One row for each block, with its sums packed."""
+            packed = np.empty(len(keys), dtype=_SUM)
+            packed["row"], packed["n"] = keys & 0xFFFF, sums
+            blocks, starts = np.unique(keys >> 16, return_index=True)
+            lists = [part.tobytes() for part in np.split(packed, starts[1:])]
+            columns = [pa.array(blocks), pa.array(lists, pa.binary()), pa.nulls(len(blocks), base_arrow)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "sums", "base"])
 
         last, pieces = None, 0
         for batch in batches:
             bases = batch.filter(batch.column("postings").is_null())
             if bases.num_rows:
-                empty = [pa.nulls(bases.num_rows, pa.int32()), pa.nulls(bases.num_rows, pa.int64())]
-                columns = [bases.column("block"), *empty, bases.column("base").cast(base_arrow)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "row", "n", "base"])
+                nothing = pa.nulls(bases.num_rows, pa.binary())
+                columns = [bases.column("block"), nothing, bases.column("base").cast(base_arrow)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "sums", "base"])
             lists = batch.filter(batch.column("postings").is_valid())
             counted = []
             for pre_token in lists.column("key").to_pylist():
@@ -207,18 +215,18 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
             yield out(keys, sums)
 
     met = posted.repartition("key").sortWithinPartitions("key")
-    partial = met.mapInArrow(add, f"block bigint, row int, n bigint, base {base_type}")
+    partial = met.mapInArrow(add, f"block bigint, sums binary, base {base_type}")
     first = F.col("base").isNull()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["block"]):
-            row, n = table.column("row"), table.column("n")
             for start, end in zip(starts, starts[1:]):
                 # The block's base sorts first; its partial sums follow.
                 base = table.column("base")[int(start)].as_py()
                 total = np.array([b["n"] for b in base], dtype=np.int64)
-                at = row.slice(start + 1, end - start - 1).to_numpy()
-                np.add.at(total, at, n.slice(start + 1, end - start - 1).to_numpy())
+                for packed in table.column("sums").slice(int(start) + 1, int(end - start) - 1).to_pylist():
+                    part = np.frombuffer(packed, dtype=_SUM)
+                    total[part["row"]] += part["n"]  # a row stands once in each
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b["id"] for b in base], id_arrow),
