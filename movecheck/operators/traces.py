@@ -25,8 +25,9 @@ def missing_keys(line: Column) -> Column:
 
 
 # One JSON string after the other: a short one without spaces is captured, any other is
-# passed over. Six characters may stand for one (a coded character).
-_SHORT_STRING = rf'"(?:([^" ]{{1,{6 * MAX_NAME_LENGTH}}})"|[^"]*")'
+# passed over. Twelve characters may stand for one: a character outside the basic plane is
+# written as two coded ones. How long a name really is, is decided once it is decoded.
+_SHORT_STRING = rf'"(?:([^" ]{{1,{12 * MAX_NAME_LENGTH}}})"|[^"]*")'
 
 
 def json_names(line: Column) -> Column:

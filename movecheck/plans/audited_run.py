@@ -133,7 +133,7 @@ def audited_run(
         if not blocked:
             rejected([], f"not evaluated — {error.getCondition() or 'query not analysed'}")
     if blocked:
-        detail = "blocked column(s): " + ", ".join(blocked)
+        detail = "personal columns: " + ", ".join(blocked)
         rejected([check("G-5", "redaction", "error", detail)], "not evaluated — G-5 failed")
 
     try:

@@ -229,12 +229,47 @@ def declared_windows(spark: SparkSession, sf: str) -> DataFrame:
     return files.analysis_windows(config)
 
 
-@query("SELECT count(*) AS n_rows, true AS same FROM lineitem")
+@query(
+    """
+    SELECT 'other layout' AS copy, count(*) AS n_rows, true AS same FROM lineitem
+    UNION ALL SELECT 'one cent more', count(*), false FROM lineitem
+    """
+)
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """A copy in other order and layout has the same fingerprint."""
+    """A copy in other order and layout has the same fingerprint, a changed one hasn't."""
     items = table(spark, sf, "lineitem")
-    copy = items.select(*reversed(items.columns)).orderBy("l_partkey")
-    other = datasets.fingerprint(copy).select(F.struct("n_rows", "content_hash")).scalar()
-    return datasets.fingerprint(items).select(
-        "n_rows", (F.struct("n_rows", "content_hash") == other).alias("same")
+    first = items.agg(F.min("l_orderkey")).scalar()
+    dearer = F.when(F.col("l_orderkey") == first, F.col("l_extendedprice") + 0.01).otherwise(F.col("l_extendedprice"))
+    copies = {
+        "other layout": items.select(*reversed(items.columns)).repartition(7, "l_partkey"),
+        "one cent more": items.withColumn("l_extendedprice", dearer),
+    }
+    own = datasets.fingerprint(items).select(F.struct("n_rows", "content_hash")).scalar()
+    judged = [
+        datasets.fingerprint(copy).select(
+            F.lit(name).alias("copy"), "n_rows", (F.struct("n_rows", "content_hash") == own).alias("same")
+        )
+        for name, copy in copies.items()
+    ]
+    return judged[0].unionByName(judged[1])
+
+
+@query(
+    """
+    SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars, lang, source FROM documents
+    """
+)
+def csv_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with quotes, commas and line breaks through a CSV file and its view."""
+    folder = scratch_folder(spark)
+    texts = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    quoted = texts.withColumn("quoted", F.concat(F.lit(' "a, b"\n'), "text", F.lit('\n"" ')))
+    files.write_result(quoted, f"{folder}/texts.csv", format="csv")
+    sources.register_folder(spark, folder)
+    return sources.run_query(
+        spark,
+        """
+        SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars, lang, source
+        FROM texts WHERE quoted = concat(' "a, b"\\n', text, '\\n"" ')
+        """,
     )

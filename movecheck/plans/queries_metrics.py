@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movecheck.functions.columns import round_report
+from movecheck.functions.columns import round_report, ratio
 from movecheck.functions.normal import two_sided_p
 from movecheck.operators import contrasts, datasets, renames, retention, series
 from movecheck.plans.registry import by_sql, query, rounded, table
@@ -428,7 +428,7 @@ def power_by_segment(spark: SparkSession, sf: str) -> DataFrame:
         contrasts.power(
             counts,
             effect=F.lit(0.03),
-            baseline=F.col("a_success") / F.col("a_n"),
+            baseline=ratio(F.col("a_success"), F.col("a_n")),
             n_a=F.col("a_n"),
             n_b=F.col("b_n"),
             alpha=ALPHA,
@@ -745,25 +745,19 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def _two_exports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The events table, and an export of it that merged two event types."""
-    events = table(spark, sf, "events").select(
-        "user_id", "event_type", F.to_date("ts").alias("day")
-    )
+    events = table(spark, sf, "events")
     merged = F.when(F.col("event_type") == "error", "click").otherwise(F.col("event_type"))
     return events, events.withColumn("event_type", merged)
 
 
 _DIFF_SQL = """
-    WITH l AS (
-      SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS left_n
-      FROM events GROUP BY 1, 2, 3),
-    r AS (
-      SELECT user_id, CASE event_type WHEN 'error' THEN 'click' ELSE event_type END AS event_type,
-             CAST(ts AS DATE) AS day, count(*) AS right_n
-      FROM events GROUP BY 1, 2, 3),
+    WITH both_exports AS (
+      SELECT *, 1 AS l, 0 AS r FROM events
+      UNION ALL
+      SELECT * REPLACE (CASE event_type WHEN 'error' THEN 'click' ELSE event_type END AS event_type), 0, 1 FROM events),
     d AS (
-      SELECT user_id, event_type, day, coalesce(left_n, 0) AS left_n, coalesce(right_n, 0) AS right_n
-      FROM l FULL JOIN r USING (user_id, event_type, day)
-      WHERE coalesce(left_n, 0) <> coalesce(right_n, 0))
+      SELECT * EXCLUDE (l, r), sum(l)::BIGINT AS left_n, sum(r)::BIGINT AS right_n
+      FROM both_exports GROUP BY ALL HAVING sum(l) <> sum(r))
 """
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movecheck.functions.names import is_blocked
+from movecheck.functions.names import SINGLE_TOKENS, TOKEN_PAIRS, is_blocked
 from movecheck.operators import audits, policy, reporting, scoring, traces
 from movecheck.plans.registry import query, table
 from movecheck.sources import tables as sources
@@ -82,11 +82,11 @@ _RANGES = {
                 ELSE 'window-coverage' END AS name,
       CASE WHEN kind <> 'range' THEN 'warn' WHEN late OR early THEN 'error'
            WHEN short THEN 'warn' ELSE 'pass' END AS status,
-      CASE WHEN kind = 'none' THEN 'no date predicate; focus window not constrained'
-           WHEN kind = 'complex' THEN 'date predicates too complex to evaluate'
-           WHEN late THEN 'query range starts ' || lo_bound || ', misses focus start 1996-01-01'
-           WHEN early THEN 'query range ends ' || hi_bound || ', misses focus end 1996-12-31'
-           WHEN short THEN 'result dates ' || lo || '..' || hi || ' do not span focus 1996-01-01..1996-12-31'
+      CASE WHEN kind = 'none' THEN 'dates are not restricted, so the focus window may be missed'
+           WHEN kind = 'complex' THEN 'the restriction on dates could not be judged'
+           WHEN late THEN 'only dates from ' || lo_bound || ' on, but the focus begins 1996-01-01'
+           WHEN early THEN 'only dates up to ' || hi_bound || ', but the focus ends 1996-12-31'
+           WHEN short THEN 'dates found: ' || lo || ' to ' || hi || '; focus: 1996-01-01 to 1996-12-31'
            ELSE '' END AS detail
     FROM judged
     """
@@ -129,15 +129,15 @@ def _one_check(check_id: str, audited: dict[str, DataFrame]) -> DataFrame:
     SELECT 'customers only' AS result, 'G-7' AS id, 'join-fanout' AS name,
            CASE WHEN joined > 1.5 * customers THEN 'warn' ELSE 'pass' END AS status,
            CASE WHEN joined > 1.5 * customers
-                THEN joined || ' result rows > 1.5 × max source ' || customers ELSE '' END AS detail
+                THEN joined || ' rows are more than 1.5 times the largest source (' || customers || ')' ELSE '' END AS detail
     FROM sizes
     UNION ALL
     SELECT 'both sources', 'G-7', 'join-fanout',
            CASE WHEN joined > 1.5 * orders_n THEN 'warn' ELSE 'pass' END,
            CASE WHEN joined > 1.5 * orders_n
-                THEN joined || ' result rows > 1.5 × max source ' || orders_n ELSE '' END
+                THEN joined || ' rows are more than 1.5 times the largest source (' || orders_n || ')' ELSE '' END
     FROM sizes
-    UNION ALL SELECT 'no sources', 'G-7', 'join-fanout', 'pass', 'no source counts'
+    UNION ALL SELECT 'no sources', 'G-7', 'join-fanout', 'pass', 'sizes of the sources unknown'
     """
 )
 def audit_fanout(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,16 +146,20 @@ def audit_fanout(spark: SparkSession, sf: str) -> DataFrame:
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "c_custkey", "c_mktsegment"
     )
-    few = sources.count_rows({"customer": customer})
-    both = sources.count_rows({"customer": customer, "orders": orders})
-    return _one_check(
-        "G-7",
-        {
-            "customers only": audits.audit(joined, source_counts=few),
-            "both sources": audits.audit(joined, source_counts=both),
-            "no sources": audits.audit(joined),
-        },
+    counts = sources.count_rows({"customer": customer, "orders": orders})
+    # The join is measured once; each set of known sources is judged on that one row.
+    known = {
+        "customers only": counts.filter(F.col("table") == "customer"),
+        "both sources": counts,
+        "no sources": None,
+    }
+    judged = F.array(
+        *[
+            F.struct(F.lit(name).alias("result"), audits.fanout_check(audits.largest_source(some)).alias("check"))
+            for name, some in known.items()
+        ]
     )
+    return audits.measure(joined).select(F.inline(judged)).select("result", "check.*")
 
 
 def _sql_floor(result: str, source: str, column: str = "n") -> str:
@@ -163,7 +167,7 @@ def _sql_floor(result: str, source: str, column: str = "n") -> str:
       SELECT '{result}' AS result, 'G-8' AS id,
         CASE WHEN small > 0 THEN 'underpowered-risk' ELSE 'aggregate-floor' END AS name,
         CASE WHEN small > 0 THEN 'warn' ELSE 'pass' END AS status,
-        CASE WHEN small > 0 THEN 'denominator < 50: {column} in ' || small || ' rows, lowest '
+        CASE WHEN small > 0 THEN 'under 50 observations: {column} in ' || small || ' rows, lowest '
              || printf('%.1f', lowest) ELSE '' END AS detail
       FROM (SELECT count(*) FILTER (n < 50) AS small, (min(n) FILTER (n < 50))::DOUBLE AS lowest
             FROM ({source}))
@@ -174,9 +178,11 @@ def _sql_floor(result: str, source: str, column: str = "n") -> str:
     _sql_floor("by customer", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
     + "UNION ALL"
     + _sql_floor("by priority", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+    + "UNION ALL"
+    + _sql_floor("twice n", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
     + """
     UNION ALL SELECT 'no denominator', 'G-8', 'no-denominator', 'warn',
-                     'aggregate query has no n / n_* / *_n column'
+                     'no column (n, n_*, *_n) says how many observations a row has'
     UNION ALL SELECT 'not an aggregate', 'G-8', 'aggregate-floor', 'pass', ''
     """
 )
@@ -192,6 +198,10 @@ def audit_floor(spark: SparkSession, sf: str) -> DataFrame:
         {
             "by customer": audits.audit(by_customer, is_aggregate=True),
             "by priority": audits.audit(by_priority, is_aggregate=True),
+            # Two columns of one name: the one that is too small must not hide behind the other.
+            "twice n": audits.audit(
+                by_customer.select("o_custkey", "n", F.lit(80).alias("n")), is_aggregate=True
+            ),
             "no denominator": audits.audit(rates, is_aggregate=True),
             "not an aggregate": audits.audit(by_customer),
         },
@@ -226,7 +236,7 @@ def _sql_nulls(result: str, source: str, column: str) -> str:
     return f"""
       SELECT '{result}' AS result, 'G-9' AS id, 'nulls' AS name,
              CASE WHEN share > 0.2 THEN 'warn' ELSE 'pass' END AS status,
-             CASE WHEN share > 0.2 THEN 'null share > 20%: {column}='
+             CASE WHEN share > 0.2 THEN 'missing in over 20%: {column}='
                   || round_even(share * 100, 0)::INT || '%' ELSE '' END AS detail
       FROM (SELECT count(*) FILTER ({column} IS NULL)::DOUBLE / nullif(count(*), 0) AS share FROM {source})
     """
@@ -259,7 +269,7 @@ def audit_nulls(spark: SparkSession, sf: str) -> DataFrame:
                    UNION ALL SELECT 'nation', count(*) FROM nation)
     SELECT result, 'G-12' AS id, CASE WHEN n > 5000 THEN 'not-an-aggregate?' ELSE 'size' END AS name,
            CASE WHEN n > 5000 THEN 'warn' ELSE 'pass' END AS status,
-           CASE WHEN n > 5000 THEN n || ' rows > 5000' ELSE '' END AS detail
+           CASE WHEN n > 5000 THEN n || ' rows, 5000 at most are expected' ELSE '' END AS detail
     FROM sizes
     """
 )
@@ -430,19 +440,19 @@ def _product_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A column catalog spelled from the part table: brands as tables, products as columns."""
     endings = F.array(*[F.lit(e) for e in _ENDINGS])
     ending = F.element_at(endings, (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
-    word = F.element_at(F.split("p_name", " "), F.lit(1))
+    words = F.replace("p_name", F.lit(" "), F.lit("_"))
     bare = F.col("p_size") == 1
     return table(spark, sf, "part").select(
         F.col("p_brand").alias("table"),
         F.col("p_partkey").alias("ordinal"),
-        F.when(bare, ending).otherwise(F.concat(word, F.lit("_"), ending)).alias("column"),
+        F.when(bare, ending).otherwise(F.concat(words, F.lit("_"), ending)).alias("column"),
     )
 
 
-_CATALOG_SQL = """
+_CATALOG_SQL = f"""
     catalog AS (
       SELECT p_brand AS "table", p_partkey AS ordinal,
-        CASE WHEN p_size = 1 THEN e ELSE split_part(p_name, ' ', 1) || '_' || e END AS "column"
+        CASE WHEN p_size = 1 THEN e ELSE replace(p_name, ' ', '_') || '_' || e END AS "column"
       FROM (SELECT *, (['email', 'name', 'first_name', 'zip-code', 'latency_ms', 'ua', 'mail',
                         'longest', 'User Agent', 'count'])[p_partkey % 10 + 1] AS e FROM part)),
     tokens AS (
@@ -450,12 +460,8 @@ _CATALOG_SQL = """
       FROM catalog),
     flagged AS (
       SELECT "table", ordinal, "column", t,
-        list_has_any(t, ['email', 'phone', 'mobile', 'msisdn', 'surname', 'address', 'street', 'zip',
-          'zipcode', 'postal', 'ip', 'useragent', 'ua', 'ssn', 'dob', 'birth', 'birthdate', 'birthday',
-          'lat', 'latitude', 'lng', 'lon', 'long', 'longitude'])
-        OR list_has_any(list_transform(range(1, len(t)), lambda i: t[i] || '+' || t[i + 1]),
-          ['e+mail', 'user+agent', 'social+security', 'national+id', 'tax+id', 'first+name',
-           'last+name', 'full+name', 'middle+name', 'display+name', 'contact+name', 'maiden+name'])
+        list_has_any(t, {list(SINGLE_TOKENS)})
+        OR list_has_any(list_transform(range(1, len(t)), lambda i: t[i] || '+' || t[i + 1]), {list(TOKEN_PAIRS)})
         OR t = ['name'] AS blocked
       FROM tokens)
 """
@@ -478,7 +484,7 @@ def blocked_columns(spark: SparkSession, sf: str) -> DataFrame:
     WITH {_CATALOG_SQL},
     extra AS (
       SELECT DISTINCT lower(p_name) AS key FROM part WHERE p_size = 2 AND NOT contains(p_name, ' ')
-      UNION SELECT DISTINCT split_part(p_name, ' ', 1) || '+count' FROM part WHERE p_size = 2)
+      UNION SELECT DISTINCT lower(split_part(p_name, ' ', -1)) || '+count' FROM part WHERE p_size = 2)
     SELECT "table", ordinal, "column",
            blocked OR list_has_any(t || list_transform(range(1, len(t)), lambda i: t[i] || '+' || t[i + 1]),
                                    (SELECT list(key) FROM extra)) AS blocked
@@ -490,7 +496,7 @@ def column_policy_with_extras(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").filter(F.col("p_size") == 2)
     words = part.filter(~F.contains("p_name", F.lit(" "))).select(F.lower("p_name").alias("key"))
     pairs = part.select(
-        F.concat(F.element_at(F.split("p_name", " "), F.lit(1)), F.lit("+count")).alias("key")
+        F.concat(F.element_at(F.split(F.lower("p_name"), " "), F.lit(-1)), F.lit("+count")).alias("key")
     )
     return policy.flag_catalog(
         _product_catalog(spark, sf), patterns=words.unionByName(pairs).distinct()
@@ -827,12 +833,10 @@ def trace_contract(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select("conv_id", "turn", "parses", "missing", "blocked", "valid")
 
 
-_NAMED_SQL = """
+_NAMED_SQL = f"""
     SELECT conv_id, turn, list_distinct(list_filter(
       regexp_extract_all(lower(text), '[a-z0-9]+'),
-      lambda t: list_contains(['email', 'phone', 'mobile', 'address', 'street', 'zip', 'ip', 'long',
-        'lat', 'lon', 'ua', 'ssn', 'birth', 'msisdn', 'surname', 'zipcode', 'postal', 'useragent', 'dob',
-        'birthdate', 'birthday', 'latitude', 'lng', 'longitude'], t))) AS found
+      lambda t: list_contains({list(SINGLE_TOKENS)}, t))) AS found
     FROM conversations
 """
 
@@ -843,7 +847,7 @@ _NAMED_SQL = """
     FROM ({_NAMED_SQL}) JOIN (
       SELECT conv_id, turn,
         regexp_matches(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'),
-          '(^| )(e mail|user agent|social security|national id|tax id|first name|last name|full name|middle name|display name|contact name|maiden name)( |$)') AS contains_pair,
+          '(^| )({"|".join(p.replace("+", " ") for p in TOKEN_PAIRS)})( |$)') AS contains_pair,
         trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) = 'name' AS bare
       FROM conversations) USING (conv_id, turn)
     """

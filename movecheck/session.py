@@ -16,6 +16,8 @@ CONF = {
     # Partial aggregation runs before every shuffle; a task only ever holds a split
     # of this size plus its hash table.
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Column objects do not need the Python line that made them; recording it costs
     # more than planning for the wider jobs.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

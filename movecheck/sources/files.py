@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from movecheck.functions.names import pattern_key
 
+# The records' fields and their order.
 CHECK_SCHEMA = "struct<id:string,name:string,status:string,detail:string>"
 REPORT_SCHEMA = (
     "version int, `case` string, sqlfile string, sql string, dialect string, "
@@ -115,10 +116,15 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_result(result: DataFrame, path: str, *, format: str = "parquet") -> None:
-    """Write a result, replacing the last one (an action). CSV is UTF-8 with a header."""
+    """Write a result, replacing the last one (an action).
+
+    CSV is UTF-8 with a header; quotes inside quotes are doubled, as other readers expect,
+    and blanks at the ends of texts are kept.
+    """
     writer = result.write.mode("overwrite")
     if format == "csv":
-        writer = writer.option("header", True).option("encoding", "UTF-8")
+        writer = writer.options(header=True, encoding="UTF-8", quote='"', escape='"')
+        writer = writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(format).save(path)
 
 
@@ -165,7 +171,7 @@ def read_result_rows(spark: SparkSession, path: str, *, format: str = "csv") ->
     CSV records are counted as records: a quoted line break does not start a new one.
     """
     if format == "csv":
-        reader = spark.read.schema("first string").option("header", True)
+        reader = spark.read.schema("first string").options(header=True, quote='"', escape='"')
         rows = reader.option("multiLine", True).csv(path)
     else:
         rows = spark.read.format(format).load(path)

@@ -61,15 +61,18 @@ def register_folder(
 ) -> dict[str, DataFrame]:
     """Make every table of a folder a view, blocked columns left out.
 
-    A table is one file or a folder of part files, named ``<table>.<format>``. CSV files have a header; types are inferred unless ``schemas`` holds the view's
-    schema, which saves a pass over the file. Parquet brings its own schema and is the
-    format to use at scale. Returns the registered tables by view name, in file order.
+    A table is one file or a folder of part files, named ``<table>.<format>``. CSV files
+    have a header, quotes inside quotes are doubled and quoted texts may hold line breaks;
+    types are inferred unless ``schemas`` holds the view's schema, which saves a pass over
+    the file. Quoted line breaks make a CSV file one task; Parquet brings its own schema, is
+    split and is the format to use at scale. Returns the registered tables by view name, in
+    file order.
     """
     extras, schemas = tuple(extras), schemas or {}
     tables = {}
     for name, path in view_names(list_tables(spark, folder, f".{format}")).items():
         if format == "csv":
-            reader = spark.read.option("header", True)
+            reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
             given = schemas.get(name)
             reader = reader.schema(given) if given else reader.option("inferSchema", True)
             df = reader.csv(path)
@@ -82,30 +85,30 @@ def register_folder(
 def run_query(spark: SparkSession, query: str | Callable[[SparkSession], DataFrame]) -> DataFrame:
     """A query over the registered views: SQL text or a function that builds a DataFrame.
 
-    Text must be one query. It is read as the body of a WITH clause, where Spark's grammar
-    has no room for a second statement, a write, DDL or a command: those fail before
-    anything runs, although ``spark.sql`` alone would carry them out at once.
+    Text must be one query, and two parses see to it before anything runs, although
+    ``spark.sql`` alone would carry out a write at once. By itself the text must be one
+    statement, so its brackets, quotes and comments are closed and no second statement
+    follows; then it must be the body of a WITH clause, where the grammar has no room for
+    writes, DDL and commands. Neither parse alone is enough: the second would take text that
+    closes the clause's bracket and goes on with a write.
     """
     if callable(query):
         return query(spark)
     body = query.rstrip().removesuffix(";")
+    spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
     return spark.sql(f"WITH __query AS (\n{body}\n) SELECT * FROM __query")
 
 
 def count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Exact ``(table, n_rows)`` of all tables in one aggregation that reads no column.
+    """Exact ``(table, n_rows)`` of all tables, empty ones included.
 
-    Every table brings one row that counts nothing, so empty ones are listed too.
+    Every table is counted without a key and without reading a column, and named afterwards.
     """
-    spark = next(iter(tables.values())).sparkSession
-    names = F.array(*[F.lit(name) for name in tables])
-    listed = spark.range(1).select(F.explode(names).alias("table"), F.lit(0).alias("one"))
-    rows = [df.select(F.lit(name).alias("table"), F.lit(1).alias("one")) for name, df in tables.items()]
-    return (
-        reduce(DataFrame.union, [listed, *rows])
-        .groupBy("table")
-        .agg(F.sum("one").alias("n_rows"))
-    )
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.union, counted)
 
 
 CATALOG = T.StructType(

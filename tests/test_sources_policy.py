@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -164,8 +165,10 @@ def test_results_round_trip(spark, tmp_path):
         for _ in range(2):  # the second run replaces the first
             files.write_result(df, str(tmp_path / kind), format=kind)
     assert spark.read.parquet(str(tmp_path / "parquet")).collect() == df.collect()
-    back = spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(str(tmp_path / "csv"))
+    back = spark.read.option("header", True).options(multiLine=True, escape='"').option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.columns == ["n", "s"] and back.first().s == df.first().s
+    other = duckdb.sql(f"SELECT n, s FROM read_csv('{tmp_path}/csv/*.csv', header=true)").fetchall()
+    assert other == [(1, df.first().s)]
 
 
 def test_documents_and_queries(spark, tmp_path):
