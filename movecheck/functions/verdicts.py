@@ -19,6 +19,13 @@ _FLOW = r"\{[ \t]*(?:[^{}\n]*?,[ \t]*)?verdict[ \t]*:[ \t]*[\"']?([^,{}\"'\n]+?)
 _PLAIN = r"[\"']?([^\s{}\[\]\"'#,][^{}\[\]\"'#\n]*?)[\"']?"
 _LINE = rf"[ \t]+{_KEY}[ \t]*:[ \t]+(?:{_FLOW}|{_PLAIN})[ \t]*(?:#.*)?"
 ENTRY = rf"(?dm)^{_LINE}$"
+# An entry spread over lines: a bare key, then deeper lines of which one is the verdict. The
+# others are passed over; possessive loops again.
+_DEEPER = r"\1[ \t]++(?!verdict[ \t]*:)\S.*"
+SPREAD = (
+    rf"(?dm)^([ \t]+){_KEY}[ \t]*:[ \t]*(?:#.*)?\n(?:(?:{_DEEPER}|[ \t]*(?:#.*)?)\n)*+"
+    rf"\1[ \t]++verdict[ \t]*:[ \t]+{_PLAIN}[ \t]*(?:#.*)?$(?:\n{_DEEPER})*+"
+)
 # A line that is neither blank, a comment nor an entry.
 MALFORMED = rf"(?dm)^(?![ \t]*(?:#.*)?$)(?!{_LINE}$)"
 
@@ -56,7 +63,8 @@ def _entries(section: Column) -> Column:
 def verdict_entries(text: Column) -> Column:
     """Array of ``(hypothesis, verdict)`` from the first marked block, empty if there is none.
 
-    An entry reads ``H1: {verdict: X}`` or ``H1: X`` under ``verdicts:``. One line of any
+    An entry reads ``H1: {verdict: X}`` or ``H1: X`` under ``verdicts:``, or is ``H1:`` with
+    ``verdict: X`` among the deeper lines that follow. One line of any
     other shape makes the block malformed, and a malformed block has no verdicts. A
     repeated id keeps its last verdict. Only bare, ``yaml`` and ``yml`` fences count as
     openings, so the closing fence of a block in another language opens one that ends at
@@ -65,6 +73,8 @@ def verdict_entries(text: Column) -> Column:
     unix = F.regexp_replace(text, r"\r\n?", "\n")
     fenced = F.regexp_extract_all(unix, F.lit(FENCE), F.lit(1))
     block = F.get(F.filter(fenced, lambda b: F.contains(b, F.lit(MARKER))), F.lit(0))
-    section = F.regexp_extract(block, SECTION, 1)
+    section = F.regexp_replace(
+        F.regexp_extract(block, SECTION, 1), F.lit(SPREAD), F.lit("$1$2: {verdict: $3}")
+    )
     found = F.when(F.contains(text, F.lit(MARKER)), let(section, _entries))
     return F.coalesce(found, F.array().cast(_PAIRS))

@@ -12,11 +12,12 @@ from movecheck.functions.columns import ident, join_by
 PREVIEW_ROWS = 20  # Fixed value: rows shown of a table.
 
 
-def query_index(queries: DataFrame, reports: DataFrame) -> DataFrame:
+def query_index(queries: DataFrame, reports: DataFrame, *, results: str = "results") -> DataFrame:
     """Every query with its report's outcome; a query without one is ``missing``.
 
     ``queries`` has stem, file and sql; ``reports`` stem, status, row_count, sql and
     checks. The executed SQL is the report's, else the file's. Failed queries stay in.
+    ``result`` is where a query's rows lie under ``results``, null if it left none.
     """
     failed = F.transform(
         F.filter("__checks", lambda c: c.status != "pass"), lambda c: F.coalesce(c["name"], c.id)
@@ -36,13 +37,16 @@ def query_index(queries: DataFrame, reports: DataFrame) -> DataFrame:
             F.coalesce("__sql", "sql").alias("sql"),
             "row_count",
             F.coalesce(failed, F.array().cast("array<string>")).alias("failed_checks"),
+            F.when(
+                F.col("row_count").isNotNull(), F.concat(F.lit(f"{results.rstrip('/')}/"), "stem")
+            ).alias("result"),
         )
         .orderBy("file")
     )
 
 
 def result_inventory(results: DataFrame, listing: DataFrame, *, file: str = "file") -> DataFrame:
-    """Data rows per result file. ``listing`` names all files, so empty ones count 0."""
+    """Data rows per result. ``listing`` names all results, so empty ones count 0."""
     counts = results.groupBy(ident(file).alias("file")).agg(F.count(F.lit(1)).alias("__rows"))
     files = listing.select(ident(file).alias("file"))
     return files.join(counts, "file", "left").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timezone
 
@@ -46,6 +47,21 @@ def _rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"could not move {old} to {new}")
 
 
+def _replace(spark: SparkSession, new: str, target: str) -> None:
+    """Move ``new`` to ``target``. What was there steps aside and comes back if the move fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return _rename(spark, new, target)
+    aside = f"{new}.old"
+    _rename(spark, target, aside)
+    try:
+        _rename(spark, new, target)
+    except Exception:
+        _rename(spark, aside, target)
+        raise
+    _delete(spark, aside)
+
+
 def _unknown_blocked_name(error: AnalysisException, extras: Sequence[str]) -> list[str]:
     """Blocked names among the columns analysis could not resolve."""
     named = (error.getMessageParameters() or {}).get("objectName", "")
@@ -75,13 +91,14 @@ def audited_run(
 
     In the first two cases the remaining checks are listed as errors naming the cause.
     Any error raises ``AuditError`` after the report is written; else the report's row
-    is returned. The result is written once, next to its final place, audited from
-    those files and then moved: nothing is computed twice or held in executor memory,
-    and readers never meet half a result.
+    is returned. The result is written once, in a folder of this run's own next to its
+    final place, audited from those files and then moved: nothing is computed twice or held
+    in executor memory, and readers never meet half a result. The old result is deleted only
+    when the new one is in place; between the two moves there is none under its name.
     """
     extras = tuple(extras)
     target = f"{results.rstrip('/')}/{name}"
-    staged, report_path = f"{target}.staged", f"{target}.guard.json"
+    staged, report_path = f"{target}.staged-{uuid.uuid4().hex}", f"{target}.guard.json"
     counts = count_rows(sources) if sources else None
 
     def publish(audited: DataFrame, columns: DataFrame | None):
@@ -156,9 +173,9 @@ def audited_run(
     # Six checks and a count: the row is kept so that moving the files cannot change it.
     kept = spark.createDataFrame(audited, f"row_count bigint, checks array<{CHECK_TYPE}>, status string")
     if format == "parquet":
-        _delete(spark, target)
-        _rename(spark, staged, target)
+        _replace(spark, staged, target)
     else:
-        write_result(written, target, format=format)
+        write_result(written, f"{staged}.{format}", format=format)
+        _replace(spark, f"{staged}.{format}", target)
         _delete(spark, staged)
     return publish(kept, result)

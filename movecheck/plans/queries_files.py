@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movecheck.operators import datasets, scoring
+from movecheck.operators import datasets, reporting, scoring
 from movecheck.plans.audited_run import AuditError, audited_run
 from movecheck.plans.queries_quality import trace_lines
 from movecheck.plans.registry import query, table
@@ -96,6 +96,21 @@ def audited_results(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_results(spark, folder, ["h1_monthly", "h3_window"])
 
 
+@query(
+    _MONTHLY_SQL
+    + """
+    SELECT 'h1_monthly' AS file, count(*) AS n_rows FROM monthly
+    UNION ALL SELECT 'h3_window', count(*) FROM monthly
+    """
+)
+def audited_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: rows of each result the audited runs published, however many part files it has."""
+    folder = _audited_runs(spark, sf)
+    paths = [f"{folder}/h1_monthly", f"{folder}/h3_window"]
+    rows = files.read_result_rows(spark, paths, format="parquet")
+    return reporting.result_inventory(rows, files.list_result_files(spark, paths))
+
+
 @query(
     _MONTHLY_SQL
     + """,

@@ -584,14 +584,16 @@ def _verdict_columns() -> dict[str, Column]:
 
 
 def _case_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One verdict document per customer: sound, short shape, malformed, no block, other fences."""
+    """One verdict document per customer: sound, short or spread shape, malformed, no block, other fences."""
     verdicts = _verdict_columns()
     kind = F.col("c_custkey") % 7
     lines = F.concat(
         *[
             F.concat(
                 F.lit(f"  {h}: "),
-                F.when(kind == 1, v).otherwise(F.concat(F.lit("{verdict: "), v, F.lit("}"))),
+                F.when(kind == 1, v)
+                .when(kind == 6, F.concat(F.lit("\n    note: seen twice\n    verdict: "), v))
+                .otherwise(F.concat(F.lit("{verdict: "), v, F.lit("}"))),
                 F.lit("\n"),
             )
             for h, v in verdicts.items()
@@ -715,7 +717,8 @@ def scenario_gate(spark: SparkSession, sf: str) -> DataFrame:
     SELECT 'h' || c_custkey || '.sql' AS file, coalesce(status, 'missing') AS status,
            CASE WHEN status IS NULL OR o_custkey % 2 = 0 THEN 'SELECT ' || c_custkey
                 ELSE 'SELECT n -- ' || c_custkey END AS sql,
-           row_count, coalesce(failed, []) AS failed_checks
+           row_count, coalesce(failed, []) AS failed_checks,
+           CASE WHEN row_count IS NOT NULL THEN 'results/h' || c_custkey END AS result
     FROM customer LEFT JOIN reports ON o_custkey = c_custkey
     """
 )

@@ -159,14 +159,24 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCENARIO_SCHEMA).json(path)
 
 
-def list_result_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file`` per result file at ``path``, empty ones included (names only, no contents)."""
+def _result_name() -> Column:
+    """The file's name, or the folder's for one of the part files Spark wrote a result in."""
+    path = _plain(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(path, r"([^/]+)/part-\d{5}[^/]*$", 1)
+    return F.coalesce(F.nullif(folder, F.lit("")), F.element_at(F.split(path, "/"), F.lit(-1)))
+
+
+def list_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file`` per result at ``path``, empty ones included (names only, no contents).
+
+    A result is a file or a folder of part files and goes by its own name.
+    """
     listing = spark.read.format("binaryFile").load(path)
-    return listing.select(_plain(F.col("_metadata.file_name")).alias("file"))
+    return listing.select(_result_name().alias("file")).distinct()
 
 
-def read_result_rows(spark: SparkSession, path: str, *, format: str = "csv") -> DataFrame:
-    """``file`` per data record of the result files at ``path``, for the inventory.
+def read_result_rows(spark: SparkSession, path: str | list[str], *, format: str = "csv") -> DataFrame:
+    """``file``, as in the listing, per data record of the results at ``path``.
 
     CSV records are counted as records: a quoted line break does not start a new one.
     """
@@ -175,4 +185,4 @@ def read_result_rows(spark: SparkSession, path: str, *, format: str = "csv") ->
         rows = reader.option("multiLine", True).csv(path)
     else:
         rows = spark.read.format(format).load(path)
-    return rows.select(_plain(F.col("_metadata.file_name")).alias("file"))
+    return rows.select(_result_name().alias("file"))

@@ -45,6 +45,11 @@ def body(entries, opening="```yaml\n"):
         ("```\nother\n```\n" + body("  H1: KILLED\n"), {"H1": "KILLED"}),
         (body("  H1: KILLED\n") + body("  H1: SURVIVED\n"), {"H1": "KILLED"}),
         (body("  H1: KILLED\n  H2: [unclosed\n"), {}),
+        (body("  H1:\n    verdict: KILLED\n  H2: KILLED\n"), {"H1": "KILLED", "H2": "KILLED"}),
+        (body("  \"H1\":  # why\n    note: x\n\n    # more\n    verdict: 'KILLED'  # so\n    by:\n      - y\n"), {"H1": "KILLED"}),
+        (body("  H1:\n      by: y\n      verdict: KILLED\n  H2:\n    verdict: SURVIVED\n"), {"H1": "KILLED", "H2": "SURVIVED"}),
+        (body("  H1:\n    note: x\n  H2: KILLED\n"), {}),
+        (body("  H1:\n  verdict: KILLED\n"), {}),
         (body(""), {}),
         ("no block here", {}),
         ("```yaml\nnot: [valid\n```", {}),
@@ -60,8 +65,10 @@ def test_extract(spark, text, expected):
 def test_extract_survives_long_documents(spark):
     prose = "word ``` " * 50_000
     entries = "".join(f"  H{i}: KILLED\n" for i in range(20_000))
-    df = spark.createDataFrame([(body(entries) + prose,)], "t string")
-    assert scoring.extract_verdicts(df.withColumn("k", F.lit(1)), key=["k"], text="t").count() == 20_000
+    spread = "".join(f"  S{i}:\n    verdict: KILLED\n    by: y\n" for i in range(20_000))
+    noted = "  T:\n" + "    note: y\n" * 20_000 + "    verdict: KILLED\n" + "    note: z\n" * 20_000
+    df = spark.createDataFrame([(body(entries + spread + noted) + prose,)], "t string")
+    assert scoring.extract_verdicts(df.withColumn("k", F.lit(1)), key=["k"], text="t").count() == 40_001
 
 
 SCENARIO = {
@@ -126,9 +133,9 @@ def test_query_index(spark, tmp_path):
     assert {c.detail for r in reports.collect() for c in r.checks} == {""}
     index = reporting.query_index(files.read_queries(spark, str(tmp_path / "*.sql")), reports)
     assert [tuple(r) for r in index.collect()] == [
-        ("h1_ok.sql", "pass", "SELECT executed", 25, []),
-        ("h2_bad.sql", "error", "SELECT 'h2_bad'", None, ["window-coverage", "G-8"]),
-        ("h3_none.sql", "missing", "SELECT 'h3_none'", None, []),
+        ("h1_ok.sql", "pass", "SELECT executed", 25, [], "results/h1_ok"),
+        ("h2_bad.sql", "error", "SELECT 'h2_bad'", None, ["window-coverage", "G-8"], None),
+        ("h3_none.sql", "missing", "SELECT 'h3_none'", None, [], None),
     ]
 
 
@@ -143,6 +150,15 @@ def test_inventory_counts_records_not_lines(spark, tmp_path):
     assert {r.file: r.n_rows for r in out.collect()} == {"a.csv": 2, "b.csv": 0, "c.csv": 2, "d %2B+.csv": 1}
 
 
+def test_inventory_counts_a_folder_of_part_files_as_one_result(spark, tmp_path):
+    spark.range(90).repartition(3).write.parquet(str(tmp_path / "h1 a"))
+    spark.range(0).write.parquet(str(tmp_path / "h2"))
+    paths = [str(tmp_path / "h1 a"), str(tmp_path / "h2")]
+    rows = files.read_result_rows(spark, paths, format="parquet")
+    out = reporting.result_inventory(rows, files.list_result_files(spark, paths)).collect()
+    assert sorted((r.file, r.n_rows) for r in out) == [("h1 a", 90), ("h2", 0)]
+
+
 def test_preview(spark):
     df = spark.range(65).select("id", F.when(F.col("id") < 25, "long").when(F.col("id") < 30, "short").alias("t"))
     out = reporting.preview(df, order=[F.col("id").desc()], by=["t"]).collect()
