@@ -108,6 +108,27 @@ def test_search_matches_brute_force(spark):
     assert topk.search(small, small.limit(0)).count() == 0
 
 
+def test_search_probes_and_compares_blocks(spark, monkeypatch):
+    """Codes enough to probe; queries far from all of them, which are compared with blocks of all codes."""
+    monkeypatch.setattr(topk, "BLOCK", 500)
+    draw = np.random.default_rng(4)
+    codes = [(i, int(c)) for i, c in enumerate(draw.integers(-(2**63), 2**63, 3000, dtype=np.int64))]
+    near = [(5000 + i, codes[i % 9][1] ^ (1 << i)) for i in range(60)]
+    far = [(9000 + i, (1 << i) - 1) for i in range(5)]
+    queries = codes[:9] + codes[100:110] + far
+    few = [(i, c) for i, c in codes if c.bit_count() > 30][:1500]
+    for known in (codes + near, few):
+        df, qs = (spark.createDataFrame(x, "id bigint, code bigint") for x in (known, queries))
+        wanted = plain_search([(q, c % 2**64) for q, c in queries], [(i, c % 2**64) for i, c in known], 10)
+        for segments in (None, 3, 5, 9):
+            assert sorted(map(tuple, topk.search(qs, df, segments=segments).collect())) == wanted
+
+
+def test_segments_follow_the_number_of_codes():
+    counts = [topk.expected_segments(n, 10) for n in (1, 10**4, 10**6, 10**9, 10**12)]
+    assert counts[1:] == sorted(counts[1:], reverse=True) and counts[-1] >= 1
+
+
 def test_codes_of_odd_vectors(spark):
     rows = [(1, [1.0] * 64), (2, [-1.0] * 63 + [2.0]), (3, None), (4, []), (5, [float("nan")] * 64), (6, [1.0] * 65), (7, [3.0, -1.0])]
     codes = {r.id: r.code % (1 << 64) for r in topk.sign_codes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
