@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import components, grouped, in_blocks, runs, spanning_edges, staged
+from movecheck.llm.common import broadcast_if_small, components, grouped, in_blocks, runs, spanning_edges, staged
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -177,7 +177,8 @@ def near_duplicates(
     roots = components(fingerprint_links(nodes, PivotTable(max_bits)))
     linked = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     firsts = linked.filter("root is not null").groupBy("root").agg(F.min("first").alias("component"))
-    placed = linked.join(firsts, "root", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # A root may hold a third of the fingerprints: they stay where they are while the roots are few.
+    placed = linked.join(broadcast_if_small(firsts), "root", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return fps.join(placed, "fp").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
