@@ -14,8 +14,22 @@ from pyspark.sql.types import StringType
 from movecheck.session import sized
 
 _WORD = re.compile(r"[^\W_]+")
-#: A line that names a copyright holder, or that only reserves rights.
-_COPYRIGHT = re.compile(r"^\W*(?:copyright|©|\(c\)|all rights reserved).*$", re.M)
+#: Blanks and ASCII punctuation, which may stand around a notice.
+_MARKS = r"[ \t\r!-/:-@\[-`{-~]*"
+_YEAR = r"[\[<{(]?(?:\d{4}|yyyy|year)\b"
+#: Notices that licence texts have inside, dropped wherever they stand, so that a line's ends
+#: do not count: the Free Software Foundation's own, and the forms to be filled in.
+_INNER = (
+    r"copyright\s+(?:(?:\(c\)|©)\s+)?(?:\d{4}(?:,\s*\d{4})*,?\s+free\s+software\s+foundation,\s+inc\b"
+    r"|[\[<{]?(?:year|yyyy|19yy)[\]>}]?\s+[\[<{]?name\s+of\s+(?:copyright\s+owner|author)\b)"
+)
+#: Those, and lines that are a notice: copyright with a sign or a year, a sign with a year, or
+#: nothing but reserved rights. Only what Python and RE2 read alike, the SQL has it too.
+_COPYRIGHT = re.compile(
+    f"^{_MARKS}{_INNER}|{_INNER}|^" + _MARKS + r"(?:copyright[ \t:,.-]*(?:\(c\)|©|" + _YEAR + r")|\(c\)[ \t]*(?:copyright[ \t]*)?" + _YEAR + r"|©).*$"
+    "|^" + _MARKS + r"all[ \t]+rights[ \t]+reserved" + _MARKS + "$",
+    re.M,
+)
 
 #: Spellings that licence texts use interchangeably, each with the one kept.
 SPELLINGS = {
@@ -115,7 +129,7 @@ You should have received a copy of the GNU General Public License along with thi
 
 
 def canonical(text: str | None) -> str:
-    """The text without case, punctuation, copyright lines and differences of spelling."""
+    """The text without case, punctuation, copyright notices and differences of spelling."""
     lower = (text or "").lower()
     if "©" in lower or "(c)" in lower or "copyright" in lower or "all rights" in lower:
         lower = _COPYRIGHT.sub("", lower)

@@ -1,6 +1,7 @@
 """Line spread and licence digests: the SQL, planted cases and edge rows."""
 
 import sys
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -70,6 +71,27 @@ def test_license_spellings():
     assert len({license_scan.digest(t) for t in license_scan.LICENSES.values()}) == len(license_scan.LICENSES)
 
 
+NOTICES = ["Copyright (c) 1999 Jane Doe", "Copyright 2001-2004 A. B.", "# Copyright: \u00a9 Acme", "(c) 2010 Others, all of them", "\u00a9 Jane", "Copyright [yyyy] someone", "  All rights reserved.\r"]
+
+
+def test_only_notices_are_dropped():
+    for line in NOTICES:
+        assert license_scan.canonical(f"before\n{line}\nafter") == "before after", line
+    for line in ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice and this", "(c) You must retain", "Copyright law applies", "all rights reserved to him"]:
+        assert line.split()[-1].lower() in license_scan.canonical(f"before\n{line}\nafter"), line
+
+
+def test_licenses_at_any_width():
+    for name, text in license_scan.LICENSES.items():
+        wanted = license_scan.digest(text)
+        paragraphs = text.split("\n\n")
+        for width in (50, 60, 70, 72, 76, 78, 79, 80, 100, 120, 200, 10**9):
+            for parts in ([text], paragraphs):
+                wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in parts)
+                assert license_scan.digest(wrapped) == wanted, (name, width)
+                assert license_scan.digest("Copyright (c) 2020 Jane Doe\n\n" + wrapped) == wanted, (name, width)
+
+
 def test_license_edge_rows(spark):
     rows = [(1, None, "k"), (2, "", "k"), (3, "...", "k"), (4, "RELEASED under the MIT licence", "k"), (4, "Released under the MIT License", "k"), (5, "x " * 100_000, "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, license_id string")
