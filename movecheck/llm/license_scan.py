@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -127,6 +128,45 @@ You should have received a copy of the GNU General Public License along with thi
 <https://www.gnu.org/licenses/>.""",
 }
 
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""
+_bsd = LICENSES["BSD-2-Clause"].split("\n\n")
+LICENSES["BSD-3-Clause"] = "\n\n".join([*_bsd[:-1], BSD_3, _bsd[-1]])
+LICENSES["BSD-3-Clause-Regents"] = (
+    LICENSES["BSD-3-Clause"]
+    .replace("name of the copyright holder", "name of the University")
+    .replace("COPYRIGHT HOLDERS", "REGENTS")
+    .replace("COPYRIGHT HOLDER", "REGENTS")
+)
+LICENSES["GPL-3.0-notice"] = "This work is licensed under the GNU General Public License, version 3."
+LICENSES["CC-BY-NC-4.0-notice"] = "Licensed under CC BY-NC 4.0."
+
+#: Licences that are too long for a source file, in the folder ``licenses`` beside it.
+LONG = (
+    "Apache-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-2.0-spdx", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+    "MPL-2.0", "Unlicense",
+)
+for _name in LONG:
+    LICENSES[_name] = (pkgutil.get_data(__package__, f"licenses/{_name}.txt") or b"").decode()
+#: The terms alone, as many projects keep them, without the part on how to apply them.
+_END = "END OF TERMS AND CONDITIONS"
+for _name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1"):
+    LICENSES[f"{_name}-terms"] = LICENSES[_name].split(_END)[0] + _END
+
+#: Title lines under which licences without one of their own are kept.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International",),
+}
+for _name, _titles in TITLES.items():
+    LICENSES |= {f"{_name}-titled-{k}": f"{title}\n\n{LICENSES[_name]}" for k, title in enumerate(_titles, 1)}
+
 
 def canonical(text: str | None) -> str:
     """The text without case, punctuation, copyright notices and differences of spelling."""
@@ -157,6 +197,8 @@ def known_digests(spark, texts: dict[str, str] | None = None) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``digest`` and ``license_id``, null where no known text has this digest.
 
+    The ids of known texts name their form: ``MIT`` is the bare text, ``MIT-titled-1`` the one
+    under its first title line, ``-notice``, ``-header`` and ``-terms`` are parts that stand alone.
     ``known`` has rows (license_id, digest) and is broadcast only after its size was measured;
     of several ids with one digest the first in order is given. The digest is of the whole
     text, so a licence that is only quoted isn't found. Null texts and texts without a word
@@ -164,7 +206,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") ->
     repeat; columns named ``digest`` or ``license_id`` are replaced.
     """
     if known is None:
-        names = F.broadcast(known_digests(docs.sparkSession))  # the list above: a few rows
+        names = F.broadcast(known_digests(docs.sparkSession))  # the list above: some dozens of rows
     else:
         names = sized(known)
     names = names.filter(F.col("digest") != digest("")).groupBy("digest").agg(F.min("license_id").alias("license_id"))

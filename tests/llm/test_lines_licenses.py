@@ -92,6 +92,18 @@ def test_licenses_at_any_width():
                 assert license_scan.digest("Copyright (c) 2020 Jane Doe\n\n" + wrapped) == wanted, (name, width)
 
 
+def test_planted_licenses_are_found(spark):
+    texts = license_scan.LICENSES
+    assert {"Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(texts)
+    names = sorted(texts)
+    rows = [(i, "(c) 2020 Jane Doe\n" + textwrap.fill(texts[name], 60 + i)) for i, name in enumerate(names)]
+    rows += [(1000, f"MIT License\n\nCopyright (c) 2020 Jane\n\n{texts['MIT']}"), (1001, "A page.\n" + texts["MIT"])]
+    rows += [(1002, "This work is licensed under the GNU General Public License, version 3."), (1003, "Licensed under CC BY-NC 4.0.")]
+    found = {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(len(names))] == names
+    assert [found[i] for i in range(1000, 1004)] == ["MIT-titled-1", None, "GPL-3.0-notice", "CC-BY-NC-4.0-notice"]
+
+
 def test_license_edge_rows(spark):
     rows = [(1, None, "k"), (2, "", "k"), (3, "...", "k"), (4, "RELEASED under the MIT licence", "k"), (4, "Released under the MIT License", "k"), (5, "x " * 100_000, "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, license_id string")
