@@ -60,6 +60,33 @@ def test_recall_on_random_near_vectors(spark):
         assert sum(out.values()) >= 0.92 * exact.sum()
 
 
+def test_filters_and_recall_at_every_size():
+    """The promised filters per vector, and the links just above the threshold that meet in one."""
+    draw = np.random.default_rng(3)
+    a, b = draw.standard_normal((2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.951 * a + math.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (10_000, 50_000, 200_000, 400_000, 500_000, 800_000, 2_000_000, 10_000_000):
+        met, filters = np.zeros(len(a), bool), 0
+        for code in embed_dedup.CapFilters.several(64, n, embed_dedup.EXPECTED_FILTERS):
+            x, y = code.decode(a), code.decode(b)
+            filters += sum(map(len, x + y)) / (2 * len(a))
+            met |= np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)])
+        assert abs(filters - embed_dedup.EXPECTED_FILTERS) < 4, n
+        assert met.mean() > 0.94, n
+
+
+def test_cap_threshold_is_the_share_of_the_sphere():
+    draw = np.random.default_rng(4)
+    for dim in (2, 3, 8, 64):
+        v = draw.standard_normal((400_000, dim))
+        first = v[:, 0] / np.linalg.norm(v, axis=1)
+        for share in (0.4, 0.05, 0.002):
+            assert abs((first > embed_dedup.cap_threshold(dim, share)).mean() / share - 1) < 0.15
+    assert embed_dedup.cap_threshold(1, 0.7) == 0.0
+
+
 def test_crowded_filters_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     draw = np.random.default_rng(2)
