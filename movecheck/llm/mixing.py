@@ -173,23 +173,52 @@ def fit_rates(soft: DataFrame, shares: list[float], max_rounds: int, tolerance:
     return steps
 
 
-#: The rates are raised by this factor at most where that keeps documents from being lost.
-MAX_RAISE = 2.0
+#: Steps in a doubling of the factor by which rates may be raised.
+RAISE_STEPS = 16
+
+
+def raise_factor(rated: DataFrame, tolerance: float = TOLERANCE) -> float:
+    """The least factor at which raising rates below 1 to 1 moves no share by more than ``tolerance``.
+
+    An action: one aggregation to the tokens and expected tokens per step of the rate, which
+    is bounded by the range of a double. The factor's inverse is the end of a step, so what
+    is added below it is exact. No factor raises a rate of zero, so those do not count.
+    """
+    step = F.floor(F.log2("rate") * RAISE_STEPS).cast("int")
+    tokens = F.col("n_tokens").cast("double")
+    found = (
+        rated.filter("n_tokens > 0 and rate > 0")
+        .groupBy(step.alias("step"))
+        .agg(F.sum(tokens).alias("tokens"), F.sum(tokens * F.col("rate")).alias("expected"))
+        .collect()
+    )
+    whole = sum(r["expected"] for r in found)
+    low = sorted((r for r in found if r["step"] < 0), key=lambda r: -r["step"])
+    added = sum(r["tokens"] for r in low)
+    expected = sum(r["expected"] for r in low)
+    factor = 1.0
+    for r in low:
+        if added - factor * expected <= tolerance * (added + factor * (whole - expected)):
+            break
+        # Rows of this step have a rate of at least its lower end: none needs raising then.
+        factor = 2.0 ** (-r["step"] / RAISE_STEPS)
+        added -= r["tokens"]
+        expected -= r["expected"]
+    return factor
 
 
 def repeated(docs: DataFrame, rated: DataFrame, id: str = "doc_id", keep_all: bool = True) -> DataFrame:
     """Rows of ``docs`` as often as the ``rate`` of their id says; the columns of ``docs``.
 
     The fraction of a rate is decided by a hash of the id. With ``keep_all`` the mix is made
-    by repeating, not by dropping: all rates are divided by the smallest one, ``MAX_RAISE``
-    times at most, and none is below 1 then. Where the smallest rate is below 1 / ``MAX_RAISE``
-    its documents stay more frequent than their target.
+    by repeating, not by dropping: all rates are multiplied by ``raise_factor`` and none is
+    below 1 then, so no text is lost and the shares are still those that the rates ask for.
+    The rows grow by that factor: about fourfold where a domain must shrink to a quarter.
+    Texts with a rate of zero, as of a domain without a target, stay once beside that.
     """
     rate = F.col("__rate")
     if keep_all:
-        least = rated.filter("n_tokens > 0").agg(F.min("rate")).first()[0]
-        raised = min(MAX_RAISE, 1.0 / least) if least else MAX_RAISE
-        rate = F.greatest(F.lit(1.0), rate * F.lit(max(1.0, raised)))
+        rate = F.greatest(F.lit(1.0), rate * F.lit(raise_factor(rated)))
     part = F.pmod(F.xxhash64(F.col(id), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)
     known = rated.select(F.col(id).alias("__id"), F.col("rate").alias("__rate"))

@@ -66,6 +66,31 @@ def test_mixing_edge_tables(spark):
     assert mixing.repeated(docs, twice).columns == docs.columns
 
 
+def test_skewed_tables_meet_targets(spark):
+    """Four fifths of the tokens are to become one fifth: shares are met and no text is lost."""
+    rows = [(i, "a" if i % 5 else "b", 30, 0.25 if i % 5 else 4.0) for i in range(3_000)]
+    rated = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens bigint, rate double")
+    mixed = mixing.repeated(rated.select("doc_id", "text"), rated).toPandas()
+    assert set(mixed.doc_id) == set(range(3_000))
+    assert (mixed.text == "a").mean() == pytest.approx(0.2, abs=0.01)
+
+
+def test_raise_factor_is_what_the_shares_need(spark):
+    def factor(rows):
+        return mixing.raise_factor(spark.createDataFrame(rows, "n_tokens bigint, rate double"))
+
+    assert factor([(10, 1.0), (10, 1.5)]) == 1.0 and factor([(10, 0.0)]) == 1.0 and factor([(0, 0.1)]) == 1.0
+    draw = np.random.default_rng(5)
+    for low in (0.7, 0.24, 0.03):
+        tokens, rate = draw.integers(1, 100, 500), draw.uniform(low, 2, 500)
+        found = factor([(int(t), float(r)) for t, r in zip(tokens, rate)])
+        assert found <= 2 ** (1 / mixing.RAISE_STEPS) / rate.min()
+        raised = np.maximum(1, found * rate) * tokens
+        assert np.abs(raised / raised.sum() - rate * tokens / (rate @ tokens)).sum() / 2 <= mixing.TOLERANCE
+    # A text of a millionth of the tokens does not repeat all others thousandfold.
+    assert factor([(10**6, 0.5), (10**6, 1.5), (1, 0.001)]) < 2.2
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
