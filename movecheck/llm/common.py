@@ -24,6 +24,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing will read again; None is skipped."""
+    for table in tables:
+        if table is None:
+            continue
+        spark = table.sparkSession
+        # The folder that was read, of a table as `staged` returned it.
+        relation = table._jdf.queryExecution().analyzed().relation()
+        for folder in [str(p) for p in relation.location().rootPaths().mkString("\n").split("\n")]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_blocks(rows: DataFrame, keys: Sequence[str], member: str, block: int) -> DataFrame:
     """Rows of every bucket with two members or more, dealt to the bucket's block pairs.
 

@@ -18,6 +18,7 @@ from movecheck.llm import (
     license_scan,
     line_dedup,
     mixing,
+    phrase_mining,
     simhash,
     token_counts,
     topk,
@@ -207,3 +208,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+@query(f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+spans AS (SELECT lang, w, i, unnest([1, 2, 3]) AS k FROM placed),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM spans WHERE i + k - 1 <= len(w) GROUP BY ALL),
+size AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {phrase_mining.MIN_COUNT}),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM often),
+met AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.a AS l, y.a AS r,
+         (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[b:b + 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS b FROM often WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < {phrase_mining.CONTAINED} * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN size USING (lang) WHERE rank <= 2000""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
