@@ -11,13 +11,14 @@ subphrases, so it becomes active at some step, and its count is then exact.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,24 +164,27 @@ def counted(codes: np.ndarray, at: np.ndarray, k: int, distinct: int) -> tuple[l
     return [codes[at[first] + j] for j in range(k)], n
 
 
-def scanned(blocks: DataFrame, step: int, shards: int, max_words: int, firsts: list[np.ndarray]) -> DataFrame:
-    """Rows (k, start, h0, …, n): the phrases active at this step, counted in each block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(firsts)  # (max_words - 1) x 16 MB
+def scanned(blocks: DataFrame, step: int, shards: int, max_words: int, shared: Broadcast) -> DataFrame:
+    """Rows (k, start, h0, …, n): the phrases active at this step, counted in each block.
+
+    ``shared`` holds the slots, deflated: (``max_words`` - 1) x 16 MB at most.
+    """
     names = [f"h{j}" for j in range(max_words)]
 
     def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in shared.value]
         for batch in batches:
             for i in range(batch.num_rows):
                 hashes = batch.column(0)[i].values.to_numpy()
                 codes = np.frombuffer(batch.column(1)[i].as_buffer(), dtype="<i4")
                 for k in range(2, max_words + 1):
-                    begun = starts(codes, hashes, shared.value, k)
+                    begun = starts(codes, hashes, firsts, k)
                     at = np.flatnonzero((begun <= step) & (step < begun.astype(np.int64) + shards))
                     if not len(at):
                         continue
                     words, n = counted(codes, at, k, len(hashes))
                     of = [hashes[w] for w in words]
-                    lefts, rights = (shared.value[k - 2][_slots(x)] for x in (of[:-1], of[1:]))
+                    lefts, rights = (firsts[k - 2][_slots(x)] for x in (of[:-1], of[1:]))
                     of += [np.zeros(len(n), np.int64)] * (max_words - k)
                     start = np.maximum(lefts, rights).astype(np.int32) + 1
                     columns = [np.full(len(n), k, np.int32), start, *of, n.astype(np.int64)]
@@ -227,12 +231,14 @@ def _frequent(docs: DataFrame, text: str, lang: str, min_count: int, max_words:
                 discard(words, phrases, blocks)
                 return None
         if step:
-            new = scanned(blocks, step, shards, max_words, firsts)
+            shared = spark.sparkContext.broadcast([zlib.compress(x, 1) for x in firsts])
+            new = scanned(blocks, step, shards, max_words, shared)
             old, phrases = phrases, new if phrases is None else phrases.unionByName(new)
             phrases = phrases.groupBy("k", "start", *names).agg(F.sum("n").alias("n"))
             # What has been through its cycle is exact; if it is rare, so is all that holds it.
             phrases = staged(phrases.filter((F.col("start") + shards - 1 > step) | (F.col("n") >= min_count)))
             discard(old)
+            shared.destroy()
         if step < shards:
             _reach(firsts[0], words.filter(F.col("n") >= min_count), ["h"], step)
         for k in range(2, max_words if phrases is not None else 2):
