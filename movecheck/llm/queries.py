@@ -18,6 +18,7 @@ from movecheck.llm import (
     license_scan,
     line_dedup,
     mixing,
+    periodic_runs,
     phrase_mining,
     simhash,
     token_counts,
@@ -241,3 +242,42 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN size USING (lang) WHERE rank <= 2000""")
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text): in texts whose id's checksum ends in 0, words from some word on
+    repeat the first of them; the checksum says where and how many."""
+    ws = F.translate("text", "\t\n\x0b\f\r", "     ")
+    words = F.filter(F.split(ws, " "), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", "text", h.alias("h")).select("*", F.when(F.col("h") % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    unit = F.slice("w", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), a), tail), " ")
+    return cut.select("doc_id", F.when(F.col("w").isNotNull() & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+
+    def longer(best, run):
+        more = best["length"].isNull() | (run["length"] * best["period"] > best["length"] * run["period"])
+        return F.when(more, run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.reduce("runs", none, longer)
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
