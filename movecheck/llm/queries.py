@@ -24,8 +24,10 @@ from movecheck.llm import (
     token_counts,
     topk,
     toxicity,
+    warc,
 )
-from movecheck.llm.common import broadcast_if_small
+from movecheck.llm.common import broadcast_if_small, staged
+from movecheck.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -281,3 +283,44 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+_BASE32 = " || ".join(f"to_base(('0x' || substr(hashed.sha, {1 + 10 * i}, 10))::BIGINT, 32, 8)" for i in range(4))
+
+
+@query(f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+firsts AS (SELECT sha, min(page_id) AS first FROM hashed WHERE payload_bytes >= {warc.MIN_REVISIT_BYTES} GROUP BY sha)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       translate(upper({_BASE32}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM hashed LEFT JOIN firsts ON hashed.sha = firsts.sha""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_folder(spark)
+    warc.write_archives(pages, path)
+    found = warc.captures(spark, path)
+    noted = F.decode(F.get("metadata.payload", F.lit(0)), "UTF-8")
+    read = staged(
+        found.select(
+            F.regexp_extract(noted, "page-id: (-?[0-9]*)", 1).try_cast(pages.schema["page_id"].dataType).alias("page_id"),
+            "record_id",
+            "refers_to",
+            F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+            warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+            F.col("type").alias("record_type"),
+        )
+    )
+    # A revisit has no payload of its own: length and digest are those of the response it names.
+    whole = read.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")
+    )
+    again = F.col("record_type") == "revisit"
+    return read.join(whole, "refers_to", "left").select(
+        "page_id",
+        F.when(again, F.col("n")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.col("d")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("first").alias("refers_to"),
+    )
