@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import discard, staged
+from movecheck.llm.common import broadcast_if_small, discard, staged
 
 #: Payload bytes of one archive, about; one archive is read by one task.
 ARCHIVE_BYTES = 64 * 1024 * 1024
@@ -80,7 +80,8 @@ def write_archives(
         .select("digest", "size", F.col("first.record").alias("refers"))
     )
     whole, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    decided = rows.join(firsts, ["digest", "size"], "left").withColumn("again", F.col("refers") != F.col("record"))
+    # Payloads stay where they are while few of them repeat.
+    decided = rows.join(broadcast_if_small(firsts), ["digest", "size"], "left").withColumn("again", F.col("refers") != F.col("record"))
     decided = decided.withColumn("again", F.coalesce("again", F.lit(False)))
 
     def name(record: Column) -> Column:
