@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from movecheck.functions.columns import ident
 from movecheck.functions.names import blocked_names, is_blocked, name_keys
 
+#: Alias inside a view that marks it as registered; text cannot make a view, so it can't forge it.
+MARK = "__registered_without_blocked_columns"
+
 
 def protected(df: DataFrame, extras: Iterable[str] = ()) -> DataFrame:
     """``df`` without its blocked columns."""
@@ -21,10 +24,10 @@ def register(df: DataFrame, view: str, extras: Iterable[str] = ()) -> DataFrame:
     """Make ``df`` a temp view without its blocked columns.
 
     A query that names one anywhere then fails analysis and nothing runs; ``SELECT *``
-    is safe.
+    is safe. The view carries a mark, by which SQL text is held to registered views.
     """
     safe = protected(df, extras)
-    safe.createOrReplaceTempView(view)
+    safe.alias(MARK).createOrReplaceTempView(view)
     return safe
 
 

@@ -21,6 +21,7 @@ from movecheck.operators.audits import (
     worst,
 )
 from movecheck.sources.files import REPORT_SCHEMA, read_reports, write_report, write_result
+from movecheck.sources.enforcement import QueryRefused
 from movecheck.sources.tables import count_rows, run_query
 
 _REPORT_COLUMNS = re.findall(r"`?(\w+)`? (?:int|bigint|string|array|map)", REPORT_SCHEMA)
@@ -140,8 +141,10 @@ def audited_run(
         publish(complete_checks(empty.withColumn("status", worst(F.col("checks"))), reason=reason), None)
 
     try:
-        result = run_query(spark, query)
+        result = run_query(spark, query, extras)
         blocked = blocked_names(result.columns, extras)
+    except QueryRefused as error:
+        rejected([check(error.check, error.name, "error", error.detail)], f"not evaluated — {error.check} failed")
     except ParseException as error:
         detail = f"not a single query ({error.getCondition()})"
         rejected([check("G-2", "select-only", "error", detail)], "not evaluated — G-2 failed")

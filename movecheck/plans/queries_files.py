@@ -43,7 +43,8 @@ def csv_folder_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _audited_runs(spark: SparkSession, sf: str) -> str:
-    """Four audited runs over orders: fine, blocked, window missed, failing. Returns their folder."""
+    """Six audited runs over orders: fine, blocked, window missed, failing, a path, a reflective
+    call. Returns their folder."""
     folder = scratch_folder(spark)
     orders = table(spark, sf, "orders")
     customer = table(spark, sf, "customer").withColumnRenamed("c_name", "full_name")
@@ -59,6 +60,8 @@ def _audited_runs(spark: SparkSession, sf: str) -> str:
         "h2_names": ("SELECT full_name, count(*) AS n FROM customers GROUP BY full_name", whole),
         "h3_window": (monthly, ("1996-06-01", "2001-12-31")),
         "h4_fails": ("SELECT CAST(o_orderstatus AS INT) AS n FROM orders", whole),
+        "h5_path": (f"SELECT c_name AS label, count(*) AS n FROM parquet.`{sf}/customer.parquet` GROUP BY 1", whole),
+        "h6_calls": ("SELECT reflect('java.lang.System', 'getenv') AS label, count(*) AS n FROM orders", whole),
     }
     for name, (text, declared) in runs.items():
         try:
@@ -129,6 +132,12 @@ def audited_inventory(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL
     SELECT 'h4_fails', NULL, NULL, 'error', ['G-6 window-coverage', 'G-7 join-fanout',
            'G-8 aggregate-floor', 'G-9 nulls', 'G-12 size']
+    UNION ALL
+    SELECT 'h5_path', NULL, NULL, 'error', ['G-5 redaction', 'G-6 window-coverage', 'G-7 join-fanout',
+           'G-8 aggregate-floor', 'G-9 nulls', 'G-12 size']
+    UNION ALL
+    SELECT 'h6_calls', NULL, NULL, 'error', ['G-2 select-only', 'G-5 redaction', 'G-6 window-coverage',
+           'G-7 join-fanout', 'G-8 aggregate-floor', 'G-9 nulls', 'G-12 size']
     """
 )
 def audited_reports(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,6 +18,8 @@ CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     # Checkpoints go when nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # A path is not a table name: SQL text reads registered views only.
+    "spark.sql.runSQLOnFiles": "false",
     # Column objects do not need the Python line that made them; recording it costs
     # more than planning for the wider jobs.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

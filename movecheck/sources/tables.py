@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from movecheck.functions.names import is_blocked, view_name
 from movecheck.operators.policy import register
+from movecheck.sources.enforcement import check_sources, check_text
 
 
 class ViewNameCollision(ValueError):
@@ -82,7 +83,9 @@ def register_folder(
     return tables
 
 
-def run_query(spark: SparkSession, query: str | Callable[[SparkSession], DataFrame]) -> DataFrame:
+def run_query(
+    spark: SparkSession, query: str | Callable[[SparkSession], DataFrame], extras: Sequence[str] = ()
+) -> DataFrame:
     """A query over the registered views: SQL text or a function that builds a DataFrame.
 
     Text must be one query, and two parses see to it before anything runs, although
@@ -91,12 +94,18 @@ def run_query(spark: SparkSession, query: str | Callable[[SparkSession], DataFra
     follows; then it must be the body of a WITH clause, where the grammar has no room for
     writes, DDL and commands. Neither parse alone is enough: the second would take text that
     closes the clause's bracket and goes on with a write.
+
+    Text that calls by reflection, reads anything but registered views or uses a blocked
+    name (the built-in ones and ``extras``) raises ``QueryRefused`` before anything runs. A
+    function is the caller's own code and is trusted.
     """
     if callable(query):
         return query(spark)
     body = query.rstrip().removesuffix(";")
-    spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
-    return spark.sql(f"WITH __query AS (\n{body}\n) SELECT * FROM __query")
+    check_text(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(body))
+    analysed = spark.sql(f"WITH __query AS (\n{body}\n) SELECT * FROM __query")
+    check_sources(analysed, extras)
+    return analysed
 
 
 def count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
