@@ -1,13 +1,13 @@
-"""Run a query, audit its result, publish result and report by one fixed rule."""
+"""Run a query, audit its result, publish both as one version by one fixed rule."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.java_gateway import is_instance_of
+from pyspark.errors import AnalysisException, ParseException, PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ from movecheck.operators.audits import (
     complete_checks,
     worst,
 )
-from movecheck.sources.files import REPORT_SCHEMA, read_reports, write_report, write_result
+from movecheck.sources import files
+from movecheck.sources.files import REPORT_SCHEMA
 from movecheck.sources.enforcement import QueryRefused
 from movecheck.sources.tables import count_rows, run_query
 
@@ -41,26 +42,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.rename(path(old), path(new)):
-        raise OSError(f"could not move {old} to {new}")
+#: Classes of SQL state that blame the query or its data: unsupported, cardinality, data,
+#: a user's function, syntax or access, raised by the query itself.
+_QUERY_STATES = ("0A", "21", "22", "39", "42", "P0")
 
 
-def _replace(spark: SparkSession, new: str, target: str) -> None:
-    """Move ``new`` to ``target``. What was there steps aside and comes back if the move fails."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return _rename(spark, new, target)
-    aside = f"{new}.old"
-    _rename(spark, target, aside)
-    try:
-        _rename(spark, new, target)
-    except Exception:
-        _rename(spark, aside, target)
-        raise
-    _delete(spark, aside)
+def _blames_query(spark: SparkSession, error: Exception) -> bool:
+    """True if the query or its data is why it failed, not the cluster under it.
+
+    A lost executor, a full disk or a missing file says nothing about the query; what was
+    published before must stay then.
+    """
+    if isinstance(error, PythonException):
+        return True
+    cause = getattr(error, "_origin", None)
+    while cause is not None:
+        if is_instance_of(spark.sparkContext._gateway, cause, "org.apache.spark.SparkThrowable"):
+            state = cause.getSqlState()
+            if state and state.startswith(_QUERY_STATES):
+                return True
+        cause = cause.getCause()
+    return False
 
 
 def _unknown_blocked_name(error: AnalysisException, extras: Sequence[str]) -> list[str]:
@@ -83,23 +85,23 @@ def audited_run(
     extras: Sequence[str] = (),
     format: str = "parquet",
 ):
-    """Run, audit and publish ``results/<name>`` and ``results/<name>.guard.json``.
+    """Run, audit and publish result and report of ``name`` together, in one step.
 
-    * A query that uses a blocked column, or text that is not one query, does not run: the
-      old result goes, the report has a null ``row_count``.
-    * A query that fails while running leaves no result either, only a report.
+    * A query that uses a blocked column, or text that is not one query, does not run:
+      a report with a null ``row_count`` is published, and no result beside it.
+    * A query that fails while running, for its own reasons, is published the same way.
     * Otherwise the result is published, also when a check on it is an error.
 
     In the first two cases the remaining checks are listed as errors naming the cause.
-    Any error raises ``AuditError`` after the report is written; else the report's row
-    is returned. The result is written once, in a folder of this run's own next to its
-    final place, audited from those files and then moved: nothing is computed twice or held
-    in executor memory, and readers never meet half a result. The old result is deleted only
-    when the new one is in place; between the two moves there is none under its name.
+    Any error raises ``AuditError`` after the report is published; else the report's row
+    is returned. Result and report are written to a folder of this run's own,
+    ``results/<name>/run-<id>``, and the result is audited from those files: nothing is
+    computed twice or held in executor memory. Then one empty file is made whose name says which
+    run counts (see ``files.publish``). Whatever fails or is lost before that, an executor or
+    this driver, the last pair stays as it was; runs of one name never mix their files.
     """
     extras = tuple(extras)
-    target = f"{results.rstrip('/')}/{name}"
-    staged, report_path = f"{target}.staged-{uuid.uuid4().hex}", f"{target}.guard.json"
+    folder = files.run_folder(results, name)
     counts = count_rows(sources) if sources else None
 
     def publish(audited: DataFrame, columns: DataFrame | None):
@@ -126,59 +128,65 @@ def audited_run(
             "checks": F.col("checks"),
             "status": F.col("status"),
         }
-        write_report(
-            audited.select(*[values[c].alias(c) for c in _REPORT_COLUMNS]), report_path
+        files.write_report(
+            audited.select(*[values[c].alias(c) for c in _REPORT_COLUMNS]), f"{folder}/report"
         )
-        row = read_reports(spark, report_path).first()
+        row = files.read_reports(spark, f"{folder}/report").first()
+        files.publish(spark, folder)
         if row.status == "error":
             raise AuditError(row)
         return row
 
     def rejected(first: list, reason: str):
-        _delete(spark, target)
         checks = F.array(*first).cast(f"array<{CHECK_TYPE}>")
         empty = spark.range(1).select(F.lit(None).cast("bigint").alias("row_count"), checks.alias("checks"))
         publish(complete_checks(empty.withColumn("status", worst(F.col("checks"))), reason=reason), None)
 
-    try:
-        result = run_query(spark, query, extras)
-        blocked = blocked_names(result.columns, extras)
-    except QueryRefused as error:
-        rejected([check(error.check, error.name, "error", error.detail)], f"not evaluated — {error.check} failed")
-    except ParseException as error:
-        detail = f"not a single query ({error.getCondition()})"
-        rejected([check("G-2", "select-only", "error", detail)], "not evaluated — G-2 failed")
-    except AnalysisException as error:
-        blocked = _unknown_blocked_name(error, extras)
-        if not blocked:
-            rejected([], f"not evaluated — {error.getCondition() or 'query not analysed'}")
-    if blocked:
-        detail = "personal columns: " + ", ".join(blocked)
-        rejected([check("G-5", "redaction", "error", detail)], "not evaluated — G-5 failed")
+    def audited():
+        try:
+            result = run_query(spark, query, extras)
+            blocked = blocked_names(result.columns, extras)
+        except QueryRefused as error:
+            refused = check(error.check, error.name, "error", error.detail)
+            return rejected([refused], f"not evaluated — {error.check} failed")
+        except ParseException as error:
+            detail = f"not a single query ({error.getCondition()})"
+            return rejected([check("G-2", "select-only", "error", detail)], "not evaluated — G-2 failed")
+        except AnalysisException as error:
+            blocked = _unknown_blocked_name(error, extras)
+            if not blocked:
+                return rejected([], f"not evaluated — {error.getCondition() or 'query not analysed'}")
+        if blocked:
+            detail = "personal columns: " + ", ".join(blocked)
+            return rejected([check("G-5", "redaction", "error", detail)], "not evaluated — G-5 failed")
+
+        try:
+            files.write_result(result, f"{folder}/result", format=format)
+        except Exception as error:
+            if not _blames_query(spark, error):
+                raise
+            _delete(spark, f"{folder}/result")
+            return rejected(
+                [check("G-5", "redaction", "pass")],
+                f"not evaluated — {type(error).__name__} while running",
+            )
+        written = files.read_result(spark, f"{folder}/result", result.schema, format=format)
+        row = audit_row(
+            written,
+            focus=focus,
+            date_range=date_range,
+            source_counts=counts,
+            is_aggregate=is_aggregate,
+            extras=extras,
+        ).collect()
+        # Six checks and a count, kept so that they are not computed again for the report.
+        kept = spark.createDataFrame(row, f"row_count bigint, checks array<{CHECK_TYPE}>, status string")
+        return publish(kept, result)
 
     try:
-        write_result(result, staged)
-    except Exception as error:
-        _delete(spark, staged)
-        rejected(
-            [check("G-5", "redaction", "pass")],
-            f"not evaluated — {type(error).__name__} while running",
-        )
-    written = spark.read.schema(result.schema).parquet(staged)
-    audited = audit_row(
-        written,
-        focus=focus,
-        date_range=date_range,
-        source_counts=counts,
-        is_aggregate=is_aggregate,
-        extras=extras,
-    ).collect()
-    # Six checks and a count: the row is kept so that moving the files cannot change it.
-    kept = spark.createDataFrame(audited, f"row_count bigint, checks array<{CHECK_TYPE}>, status string")
-    if format == "parquet":
-        _replace(spark, staged, target)
-    else:
-        write_result(written, f"{staged}.{format}", format=format)
-        _replace(spark, f"{staged}.{format}", target)
-        _delete(spark, staged)
-    return publish(kept, result)
+        return audited()
+    except AuditError:
+        raise
+    except Exception:
+        _delete(spark, folder)  # never published: nothing refers to it
+        raise

@@ -109,7 +109,7 @@ def audited_results(spark: SparkSession, sf: str) -> DataFrame:
 def audited_inventory(spark: SparkSession, sf: str) -> DataFrame:
     """R2: rows of each result the audited runs published, however many part files it has."""
     folder = _audited_runs(spark, sf)
-    paths = [f"{folder}/h1_monthly", f"{folder}/h3_window"]
+    paths = files.result_paths(spark, folder, ["h1_monthly", "h3_window"])
     rows = files.read_result_rows(spark, paths, format="parquet")
     return reporting.result_inventory(rows, files.list_result_files(spark, paths))
 
@@ -142,7 +142,7 @@ def audited_inventory(spark: SparkSession, sf: str) -> DataFrame:
 )
 def audited_reports(spark: SparkSession, sf: str) -> DataFrame:
     """The reports the audited runs left, read back."""
-    reports = files.read_reports(spark, f"{_audited_runs(spark, sf)}/*.guard.json")
+    reports = files.read_published_reports(spark, _audited_runs(spark, sf))
     failed = F.filter("checks", lambda c: c.status != "pass")
     return reports.select(
         "stem",

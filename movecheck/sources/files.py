@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from movecheck.functions.names import pattern_key
 
@@ -98,8 +101,11 @@ def _with_stem(df: DataFrame, ending: str) -> DataFrame:
     )
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Audit reports with their ``stem``; a check without detail has an empty one."""
+def read_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Audit reports with their ``stem``; a check without detail has an empty one.
+
+    A report is a file ``<stem>.guard.json`` or belongs to a published version.
+    """
     reports = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
     filled = F.transform(
         "checks",
@@ -107,7 +113,7 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
             c.id, c["name"], c.status, F.coalesce(c.detail, F.lit("")).alias("detail")
         ).cast(CHECK_SCHEMA),
     )
-    return _with_stem(reports, r"\.guard\.json").withColumn("checks", filled)
+    return _with_stem(reports, r"(?:\.guard\.json|/run-[^/]+/report)").withColumn("checks", filled)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -128,9 +134,112 @@ def write_result(result: DataFrame, path: str, *, format: str = "parquet") -> No
     writer.format(format).save(path)
 
 
-def read_results(spark: SparkSession, folder: str, stems: Sequence[str]) -> DataFrame:
+def read_result(spark: SparkSession, path: str, schema: T.StructType, *, format: str = "parquet") -> DataFrame:
+    """A result as it was written by ``write_result``, with the given schema."""
+    reader = spark.read.schema(schema)
+    if format == "csv":
+        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+    return reader.format(format).load(path)
+
+
+#: Versions of a name that stay, so that a reader that has just looked up the last but one can
+#: still finish.
+KEPT_VERSIONS = 2
+
+
+class Published(NamedTuple):
+    """The version of ``stem`` that counts; ``result`` is None if its query was refused or failed."""
+
+    stem: str
+    version: int
+    report: str
+    result: str | None
+
+
+def run_folder(results: str, name: str) -> str:
+    """A new folder for one run of ``name``; holds ``result`` and ``report``."""
+    return f"{results.rstrip('/')}/{name}/run-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    files, place = _files(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
+
+
+def _versions(spark: SparkSession, parent: str) -> list[tuple[int, str]]:
+    """(version, run) of every pointer of a name, in order."""
+    pairs = [name.partition("-") for name in _listed(spark, f"{parent}/versions")]
+    return sorted((int(number), run) for number, _, run in pairs)
+
+
+def publish(spark: SparkSession, folder: str) -> None:
+    """Let the finished run in ``folder`` count from now on; readers switch in one step.
+
+    The pointer is an empty file ``versions/<number>-<run>`` beside the run's folder. The largest
+    name counts, so a new pointer replaces the last one by being created, which every file
+    system does in one step, and nothing is overwritten. Two runs that publish at once get
+    pointers of one number: one of them counts, whole. Versions before the last
+    ``KEPT_VERSIONS`` are deleted afterwards; runs without a pointer are not touched.
+    """
+    parent, run = folder.rsplit("/", 1)
+    last = _versions(spark, parent)
+    number = last[-1][0] + 1 if last else 1
+    files, pointer = _files(spark, f"{parent}/versions/{number:012d}-{run}")
+    files.mkdirs(pointer.getParent())
+    if not files.createNewFile(pointer):
+        raise OSError(f"{pointer} exists already")
+    for old, other in _versions(spark, parent)[:-KEPT_VERSIONS]:
+        # The run first: while its pointer stands, an interrupted deletion is taken up again.
+        for gone in (f"{parent}/{other}", f"{parent}/versions/{old:012d}-{other}"):
+            files, place = _files(spark, gone)
+            files.delete(place, True)
+
+
+def published(spark: SparkSession, results: str, stems: Sequence[str] | None = None) -> list[Published]:
+    """The version that counts of every name under ``results``, by name (lists names only).
+
+    ``stems`` limits and orders the names; one that was never published is an error.
+    """
+    results = results.rstrip("/")
+    last: dict[str, Published] = {}
+    for stem in _listed(spark, results) if stems is None else stems:
+        versions = _versions(spark, f"{results}/{stem}")
+        if versions:
+            number, run = versions[-1]
+            folder = f"{results}/{stem}/{run}"
+            there = "result" in _listed(spark, folder)
+            last[stem] = Published(stem, number, f"{folder}/report", f"{folder}/result" if there else None)
+    if stems is None:
+        return [last[stem] for stem in sorted(last)]
+    missing = [stem for stem in stems if stem not in last]
+    if missing:
+        raise FileNotFoundError(f"never published under {results}: {', '.join(missing)}")
+    return [last[stem] for stem in stems]
+
+
+def read_published_reports(spark: SparkSession, results: str) -> DataFrame:
+    """The reports that count of all names under ``results``, with their ``stem``."""
+    return read_reports(spark, [version.report for version in published(spark, results)])
+
+
+def result_paths(spark: SparkSession, results: str, stems: Sequence[str]) -> list[str]:
+    """Where the results that count lie; a name whose version has no result is an error."""
+    versions = published(spark, results, stems)
+    without = [version.stem for version in versions if version.result is None]
+    if without:
+        raise FileNotFoundError(f"published without a result: {', '.join(without)}")
+    return [version.result for version in versions]
+
+
+def read_results(spark: SparkSession, results: str, stems: Sequence[str]) -> DataFrame:
     """Rows of published Parquet results of one shape, with the ``stem`` each came from."""
-    return _with_stem(spark.read.parquet(*[f"{folder}/{stem}" for stem in stems]), "")
+    return _with_stem(spark.read.parquet(*result_paths(spark, results, stems)), "/run-[^/]+/result")
 
 
 def read_documents(spark: SparkSession, path: str, *, ending: str = r"\.[^./]+") -> DataFrame:
@@ -162,7 +271,7 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 def _result_name() -> Column:
     """The file's name, or the folder's for one of the part files Spark wrote a result in."""
     path = _plain(F.col("_metadata.file_path"))
-    folder = F.regexp_extract(path, r"([^/]+)/part-\d{5}[^/]*$", 1)
+    folder = F.regexp_extract(path, r"([^/]+?)(?:/run-[^/]+/result)?/part-\d{5}[^/]*$", 1)
     return F.coalesce(F.nullif(folder, F.lit("")), F.element_at(F.split(path, "/"), F.lit(-1)))
 
 
