@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ from movecheck.llm.common import runs
 #: A block of documents whose pre-tokens share one posting list ends at either of these.
 BLOCK_CHARS = 32_000_000
 BLOCK_ROWS = 60_000
-#: Partial sums that a task holds before it hands them on.
-HELD_SUMS = 2_000_000
+#: A pre-token in more than this share of a block's texts meets its lists of other blocks in many
+#: tasks instead of one.
+HOT_SHARE = 0.05
 #: Row within its block, and how often the pre-token stands there.
 _POSTING = np.dtype([("row", "<u2"), ("n", "u1")])
 #: A row of a block and its partial sum.
@@ -64,13 +66,14 @@ class Splitter:
             self.memo.keep(stretch, known)
         return known
 
-    def post(self, text: str, row: int, lists: dict[str, array]) -> int:
-        """Pieces counted already; each remaining pre-token's frequency goes to its posting list."""
+    def post(self, text: str, row: int, block: Block) -> int:
+        """Pieces counted already; each remaining pre-token's frequency goes to the block's postings."""
         direct, parts = 0, [text]
         if self.added and self.added.search(text):
             parts = self.added.split(text)
             direct = len(parts) - 1
-        recall = self.memo.get
+        recall, code_of = self.memo.get, block.codes.__getitem__
+        codes, counts = [], []
         for part in parts:
             # str.split takes four control characters for white space that aren't.
             stretches = _STRETCH.findall(part) if _CONTROL.search(part) else part.split()
@@ -80,14 +83,67 @@ class Splitter:
                     known = self._of_stretch(stretch)
                 direct += known[0] * n
                 for pre_token in known[1]:
-                    posted = lists.get(pre_token)
-                    if posted is None:
-                        lists[pre_token] = array("Q", (row << 32 | n,))
-                    else:
-                        posted.append(row << 32 | n)
+                    codes.append(code_of(pre_token))
+                    counts.append(n)
+        if codes:
+            block.add(row, codes, counts)
         return direct
 
 
+class _Codes(dict):
+    """Numbers of pre-tokens, from 0 as they come."""
+
+    def __missing__(self, pre_token: str) -> int:
+        code = self[pre_token] = len(self)
+        return code
+
+
+class Block:
+    """Postings of a block of documents: pre-token, row, frequency."""
+
+    def __init__(self) -> None:
+        self.codes = _Codes()
+        self._codes, self._rows, self._counts = array("I"), array("H"), array("Q")
+
+    def add(self, row: int, codes: list[int], counts: list[int]) -> None:
+        self._codes.extend(codes)
+        self._counts.extend(counts)
+        self._rows.extend([row] * len(codes))
+
+    def dealt(self, name: int, rows: int, buckets: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """For each bucket: its pre-tokens, the lengths of their lists, and the lists end to end.
+
+        A pre-token's hash names its bucket; that of one in many of the block's ``rows`` is moved
+        on by the block's name, so that its lists are spread over all buckets.
+        """
+        keys = list(self.codes)
+        codes, n = np.frombuffer(self._codes, np.uint32), np.frombuffer(self._counts, np.uint64).astype(np.int64)
+        at = np.frombuffer(self._rows, np.uint16)
+        if len(n) and n.max() > 255:  # a posting holds up to 255; more are spread over several
+            times = (n + 254) // 255
+            codes, at = np.repeat(codes, times), np.repeat(at, times)
+            spread = np.full(int(times.sum()), 255, dtype=np.int64)
+            spread[np.cumsum(times) - 1] = n - 255 * (times - 1)
+            n = spread
+        lengths = np.bincount(codes, minlength=len(keys))
+        bucket = np.fromiter((xxhash.xxh32_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.int64, len(keys))
+        bucket = (bucket + np.where(lengths > HOT_SHARE * rows, name, 0)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order] = np.arange(len(keys))
+        by_key = np.argsort(place[codes], kind="stable")
+        packed = np.empty(len(by_key), dtype=_POSTING)
+        packed["row"], packed["n"] = at[by_key], n[by_key]
+        sorted_lengths = lengths[order]
+        ends = np.cumsum(sorted_lengths)
+        sorted_bucket = bucket[order]
+        starts = np.flatnonzero(np.append(True, sorted_bucket[1:] != sorted_bucket[:-1])) if len(keys) else []
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            first = ends[start] - sorted_lengths[start]
+            some = [keys[i] for i in order[start:end]]
+            yield int(sorted_bucket[start]), some, sorted_lengths[start:end].astype("<u4"), packed[first : ends[end - 1]]
+
+
 _splitters: dict[str, Splitter] = {}
 
 
@@ -98,25 +154,16 @@ def splitter(path: str) -> Splitter:
     return _splitters[path]
 
 
-def _pack(posted: array) -> bytes:
-    """Posting list as bytes, three for each posting; a count above 255 is spread over several."""
-    both = np.frombuffer(posted, dtype=np.uint64)
-    at, n = (both >> np.uint64(32)).astype(np.uint16), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    if n.max() > 255:
-        times = (n + 254) // 255
-        at = np.repeat(at, times)
-        spread = np.full(int(times.sum()), 255, dtype=np.int64)
-        spread[np.cumsum(times) - 1] = n - 255 * (times - 1)
-        n = spread
-    out = np.empty(len(at), dtype=_POSTING)
-    out["row"], out["n"] = at, n
-    return out.tobytes()
+class _Pieces(dict):
+    """Pieces of a pre-token, counted when it is first asked for."""
 
+    def __init__(self, split: Splitter) -> None:
+        super().__init__()
+        self.split = split
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their values."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, weights=values, minlength=len(distinct)).astype(np.int64)
+    def __missing__(self, pre_token: str) -> int:
+        n = self[pre_token] = self.split.pieces(pre_token)
+        return n
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -124,11 +171,11 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
 
     1. Each task folds a block of documents to posting lists, one for each distinct pre-token
        that isn't a whole vocabulary entry: in which rows of the block it stands, how often.
-       A pre-token in every document is one row per block.
-    2. One shuffle brings the lists of a pre-token together, one after the other: its pieces
-       are counted once, at the first list, and met with all of them. (Counting in a table
-       of its own and joining that would move every list twice.)
-    3. Each task adds count times frequency up per row, and the sums per row are added.
+    2. One shuffle deals the lists by a hash of the pre-token; what a block has for a bucket is
+       one row. Each task counts the pieces of a pre-token once and meets them with the lists of all
+       blocks. A pre-token in many of a block's texts is dealt by its block as well: its lists fill
+       no task, and its pieces are counted once per task.
+    3. Count times frequency is added up per row of the block, and the sums per row are added.
 
     Token ids are never made. Null and empty texts have no tokens; repeated rows and repeated
     or null ids are counted row by row; other columns are ignored; an empty table gives no rows.
@@ -139,32 +186,29 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     base_arrow = pa.list_(pa.struct([("id", id_arrow), ("n_bytes", pa.int64()), ("n", pa.int64())]))
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
-        task, block = TaskContext.get().partitionId(), 0
-        lists: dict[str, array] = {}
+        task, number = TaskContext.get().partitionId(), 0
+        block = Block()
         ids, sizes, direct, chars = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal lists, ids, sizes, direct, chars, block
-            name = (task << 20) + block
-            keys = list(lists)
-            for start in range(0, len(keys), 20_000):
-                some = keys[start : start + 20_000]
-                packed = pa.array([_pack(lists[k]) for k in some], pa.binary())
-                size = len(some)
-                columns = [pa.array(some), pa.array([name] * size, pa.int64()), packed, pa.nulls(size, base_arrow)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "block", "postings", "base"])
+            nonlocal block, ids, sizes, direct, chars, number
+            name = (task << 20) + number
+            for bucket, keys, lengths, packed in block.dealt(name, len(ids), buckets):
+                values = [[bucket], [name], [keys], [lengths.tobytes()], [packed.tobytes()], [None]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, dealt)], schema=dealt)
             base = [{"id": i, "n_bytes": b, "n": n} for i, b, n in zip(ids, sizes, direct)]
-            # A pre-token holds no blank, so this key is no pre-token's and no other block's.
-            columns = [pa.array([f" {name}"]), pa.array([name], pa.int64()), pa.nulls(1, pa.binary()), pa.array([base], base_arrow)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "block", "postings", "base"])
-            lists, ids, sizes, direct, chars, block = {}, [], [], [], 0, block + 1
+            values = [[name % buckets], [name], [None], [None], [None], [base]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, dealt)], schema=dealt)
+            block, ids, sizes, direct, chars, number = Block(), [], [], [], 0, number + 1
 
         for batch in batches:
             for id_, value in zip(batch.column(0), batch.column(1)):
                 value = value.as_py() or ""
-                direct.append(split.post(value, len(ids), lists))
+                direct.append(split.post(value, len(ids), block))
                 ids.append(id_.as_py())
                 sizes.append(len(value.encode("utf-8", "surrogatepass")))
                 chars += len(value)
@@ -174,47 +218,41 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
             yield from flush()
 
     base_type = f"array<struct<id:{kind.simpleString()},n_bytes:bigint,n:bigint>>"
-    posted = rows.mapInArrow(post, f"key string, block bigint, postings binary, base {base_type}")
+    dealt = pa.schema(
+        [
+            ("bucket", pa.int32()),
+            ("block", pa.int64()),
+            ("keys", pa.list_(pa.string())),
+            ("lengths", pa.binary()),
+            ("postings", pa.binary()),
+            ("base", base_arrow),
+        ]
+    )
+    posted = rows.mapInArrow(post, f"bucket int, block bigint, keys array<string>, lengths binary, postings binary, base {base_type}")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
-        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            """One row for each block, with its sums packed."""
-            packed = np.empty(len(keys), dtype=_SUM)
-            packed["row"], packed["n"] = keys & 0xFFFF, sums
-            blocks, starts = np.unique(keys >> 16, return_index=True)
-            lists = [part.tobytes() for part in np.split(packed, starts[1:])]
-            columns = [pa.array(blocks), pa.array(lists, pa.binary()), pa.nulls(len(blocks), base_arrow)]
-            return pa.RecordBatch.from_arrays(columns, ["block", "sums", "base"])
-
-        last, pieces = None, 0
+        counted = _Pieces(split)
         for batch in batches:
-            bases = batch.filter(batch.column("postings").is_null())
-            if bases.num_rows:
-                nothing = pa.nulls(bases.num_rows, pa.binary())
-                columns = [bases.column("block"), nothing, bases.column("base").cast(base_arrow)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "sums", "base"])
-            lists = batch.filter(batch.column("postings").is_valid())
-            counted = []
-            for pre_token in lists.column("key").to_pylist():
-                if pre_token != last:
-                    last, pieces = pre_token, split.pieces(pre_token)
-                counted.append(pieces)
-            packed = lists.column("postings").to_pylist()
-            posted_ = np.frombuffer(b"".join(packed), dtype=_POSTING)
-            lengths = np.array([len(p) // 3 for p in packed], dtype=np.int64)
-            blocks = np.repeat(lists.column("block").to_numpy(), lengths)
-            more = _sums(blocks << 16 | posted_["row"], np.repeat(np.array(counted, np.int64), lengths) * posted_["n"])
-            keys, sums = _sums(np.concatenate([keys, more[0]]), np.concatenate([sums, more[1]]))
-            if len(keys) > HELD_SUMS:
-                yield out(keys, sums)
-                keys, sums = keys[:0], sums[:0]
-        if len(keys):
-            yield out(keys, sums)
-
-    met = posted.repartition("key").sortWithinPartitions("key")
+            blocks = batch.column("block").to_pylist()
+            sums: list[bytes | None] = []
+            for keys, lengths, packed in zip(*(batch.column(c) for c in ("keys", "lengths", "postings"))):
+                if not keys.is_valid:
+                    sums.append(None)
+                    continue
+                pieces = np.fromiter(map(counted.__getitem__, keys.as_py()), np.int64, len(keys))
+                lists = np.frombuffer(packed.as_buffer(), dtype=_POSTING)
+                each = np.repeat(pieces, np.frombuffer(lengths.as_buffer(), "<u4")) * lists["n"]
+                total = np.bincount(lists["row"], weights=each)
+                row = np.flatnonzero(total)
+                out = np.empty(len(row), dtype=_SUM)
+                out["row"], out["n"] = row, total[row]
+                sums.append(out.tobytes())
+            columns = [pa.array(blocks, pa.int64()), pa.array(sums, pa.binary()), batch.column("base").cast(base_arrow)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "sums", "base"])
+
+    # An explicit number: adaptive execution would merge buckets by their bytes, and the work is in them.
+    met = posted.repartition(buckets, "bucket")
     partial = met.mapInArrow(add, f"block bigint, sums binary, base {base_type}")
     first = F.col("base").isNull()
 

@@ -56,12 +56,29 @@ def test_counts_of_odd_rows(spark, word_bpe, monkeypatch, block):
     assert token_counts.token_counts(df.limit(0), WORD_BPE).count() == 0
 
 
-def test_large_counts_are_spread_over_postings():
-    from array import array
-
-    packed = token_counts._pack(array("Q", [(5 << 32) | 1000, (6 << 32) | 255, (7 << 32) | 256]))
-    found = token_counts.np.frombuffer(packed, token_counts._POSTING)
-    assert {r: int(found["n"][found["row"] == r].sum()) for r in (5, 6, 7)} == {5: 1000, 6: 255, 7: 256}
+def test_blocks_deal_every_posting_once():
+    block = token_counts.Block()
+    assert list(block.dealt(7, 0, 4)) == []
+    wanted = {}
+    for row in range(300):
+        words = [f"w{row % 7}", "everywhere"] + ["often"] * (row == 5)
+        counts = [row + 1, 1, 1000][: len(words)]
+        block.add(row, [block.codes[w] for w in words], counts)
+        for word, n in zip(words, counts):
+            wanted[word, row] = n
+    found, seen = {}, set()
+    for bucket, keys, lengths, packed in block.dealt(7, 300, 4):
+        assert bucket not in seen and lengths.sum() == len(packed)
+        seen.add(bucket)
+        lists = iter(packed.tolist())
+        for key, length in zip(keys, lengths.tolist()):
+            for _ in range(length):
+                row, n = next(lists)
+                found[key, row] = found.get((key, row), 0) + n
+    assert found == wanted
+    # What stands in many texts goes elsewhere for another block, the rest to the same place.
+    place = lambda name: {k: b for b, keys, *_ in block.dealt(name, 300, 4) for k in keys}
+    assert place(7)["everywhere"] != place(8)["everywhere"] and place(7)["often"] == place(8)["often"]
 
 
 def test_encoding_matches_library(spark, sf_dir, reference):
