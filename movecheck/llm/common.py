@@ -37,6 +37,14 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or what it takes for ``df`` not to have it: columns may be called anything."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_blocks(rows: DataFrame, keys: Sequence[str], member: str, block: int) -> DataFrame:
     """Rows of every bucket with two members or more, dealt to the bucket's block pairs.
 
@@ -58,8 +66,13 @@ def in_blocks(rows: DataFrame, keys: Sequence[str], member: str, block: int) ->
 
 
 def grouped(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a group in one partition, one after the other."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+    """Rows of a group in one partition, one after the other.
+
+    The number of partitions is given: adaptive execution would merge them by their bytes,
+    and here the work is in comparing rows, which are few bytes each.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from movecheck.llm.common import broadcast_if_small, staged
+from movecheck.llm.common import broadcast_if_small, fresh, staged
 
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 10
@@ -74,31 +74,35 @@ def without_boilerplate(
     site: str = "source",
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
+    lines_column: str = "__lines",
+    removed_column: str = "__removed",
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and two more columns.
 
     A line (blanks at its ends aside) that stands on ``min_sites`` or more distinct sites is
     removed from all documents but the one with the smallest id that has it, so no text
-    disappears from the corpus. ``__lines`` counts a text's lines that aren't blank,
-    ``__removed`` those taken out; the other lines keep their order and spelling.
+    disappears from the corpus. ``lines_column`` counts a text's lines that aren't blank,
+    ``removed_column`` those taken out (columns of these names are replaced); the other lines keep their order and spelling.
 
     Null texts stay null with no lines, empty ones empty. A null site is no site. A document
     without id keeps its text, though its lines count. Rows that repeat an id are treated
-    alike. Other columns pass through.
+    alike. Other columns pass through, whatever their names; an empty table stays empty. A very
+    long text is one row of the join; its lines count like any others.
     """
     lines = staged(_lines(docs, text, id, site))
     boilerplate = broadcast_if_small(spread_lines(lines, min_sites, lg_k))
     hits = lines.join(boilerplate, ["k1", "k2"]).filter("id <> first")
-    by_document = hits.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__gone"))
+    id_, gone_, text_ = (fresh(docs, name) for name in ("__id", "__gone", "__text"))
+    by_document = hits.groupBy(F.col("id").alias(id_)).agg(F.collect_set("pos").alias(gone_))
     # Always by shuffle on the id: the texts move once, at every size.
     by_document = by_document.hint("merge")
-    joined = docs.join(by_document, docs[id] == by_document["__id"], "left")
-    gone = F.col("__gone").isNotNull()
-    cleaned = F.when(gone, _without(F.when(gone, joined[text]), F.col("__gone"))).otherwise(joined[text])
-    count = F.expr("size(filter(split(__text, '\\n'), x -> btrim(x, ' \\t\\r\\f\\u000b') <> ''))")
-    out = joined.withColumn("__text", joined[text]).withColumn(text, cleaned)
+    joined = docs.join(by_document, docs[id] == by_document[id_], "left")
+    gone = F.col(gone_).isNotNull()
+    cleaned = F.when(gone, _without(F.when(gone, joined[text]), F.col(gone_))).otherwise(joined[text])
+    count = F.expr(f"size(filter(split({text_}, '\\n'), x -> btrim(x, ' \\t\\r\\f\\u000b') <> ''))")
+    out = joined.withColumn(text_, joined[text]).withColumn(text, cleaned)
     return (
-        out.withColumn("__lines", F.when(F.col("__text").isNull(), 0).otherwise(count).cast("bigint"))
-        .withColumn("__removed", F.when(gone, F.size("__gone")).otherwise(0).cast("bigint"))
-        .drop("__text", "__id", "__gone")
+        out.withColumn(lines_column, F.when(F.col(text_).isNull(), 0).otherwise(count).cast("bigint"))
+        .withColumn(removed_column, F.when(gone, F.size(gone_)).otherwise(0).cast("bigint"))
+        .drop(text_, id_, gone_)
     )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import staged
+from movecheck.llm.common import fresh, staged
 
 #: Hash buckets of the words the classifier knows; bounds its size.
 BUCKETS = 16_384
@@ -110,19 +110,21 @@ def rates(
     max_rounds: int = MAX_ROUNDS,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """Rows (id, domain, n_tokens, posterior, rate), one per id of ``docs``.
+    """Rows (id, domain, n_tokens, posterior, rate, gap), one per id of ``docs``.
 
     ``labelled`` has texts and their ``domain``; a classifier learned from all of it gives
     every document a posterior over the domains. ``rate`` is how often a document is to be
     seen: the rates are at least zero and their expected domain token totals,
-    sum of rate * n_tokens * posterior, match the ``targets`` in proportion (domains without a
+    sum of rate * n_tokens * posterior, match the ``targets`` in proportion; ``gap`` is by how much
+    the worst of their shares misses its target, the same in every row (domains without a
     target have weight 0, targets without a labelled row are left out). The sum is that of the
     documents before mixing. ``domain`` is the likeliest one; of equals, the first by name.
 
     Least squares by projected gradient from rate 1, each total scaled by its domain's mass:
     a round is one aggregation that returns one number per domain, and the next rates follow
     from these numbers and the document's own posterior, so no state is kept anywhere. It
-    ends when all totals are within ``tolerance`` of the sum, or after ``max_rounds``.
+    ends when all totals are within ``tolerance`` of the sum, or after ``max_rounds``; ``gap`` above
+    ``tolerance`` says that it ended before.
 
     Null and empty texts have no tokens and the priors; they move no total. Rows that repeat
     an id, or have none, are one document with all their words. Without labelled rows of a
@@ -135,7 +137,7 @@ def rates(
         domains = Domains(["?"], [0.0], docs.sparkSession.range(-1, BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0.0).alias("w0")))
     soft = staged(posteriors(docs, domains, text, id))
     wanted = [max(0.0, float(targets.get(d, 0.0))) for d in domains.names]
-    steps = fit_rates(soft, [w / sum(wanted) for w in wanted], max_rounds, tolerance) if sum(wanted) else []
+    steps, gap = fit_rates(soft, [w / sum(wanted) for w in wanted], max_rounds, tolerance) if sum(wanted) else ([], 0.0)
     names = F.array(*[F.lit(d if n else None).cast("string") for d in domains.names])
     posterior = F.array(*[f"p{i}" for i in range(len(domains.names))])
     likeliest = F.get(names, (F.array_position(posterior, F.array_max(posterior)) - 1).cast("int"))
@@ -145,11 +147,15 @@ def rates(
         "n_tokens",
         posterior.alias("posterior"),
         _rate(steps, len(domains.names)).alias("rate"),
+        F.lit(gap).alias("gap"),
     )
 
 
-def fit_rates(soft: DataFrame, shares: list[float], max_rounds: int, tolerance: float) -> list[list[float]]:
-    """Steps of the projected gradient for rows (n_tokens, p0, p1, …), for ``_rate``."""
+def fit_rates(
+    soft: DataFrame, shares: list[float], max_rounds: int, tolerance: float
+) -> tuple[list[list[float]], float]:
+    """Steps of the projected gradient for rows (n_tokens, p0, p1, …), for ``_rate``, and the
+    largest difference between a share and its target after them."""
     n = len(shares)
     tokens = F.col("n_tokens").cast("double")
     masses = [F.sum(tokens * F.col(f"p{i}")) for i in range(n)]
@@ -158,19 +164,22 @@ def fit_rates(soft: DataFrame, shares: list[float], max_rounds: int, tolerance:
     whole, mass, square = first[0], first[1 : n + 1], first[n + 1 :]
     steps: list[list[float]] = []
     if not whole:
-        return steps
+        return steps, 0.0
     target = [s * whole for s in shares]
     # Scaled by the masses the curvature's row sums bound its largest eigenvalue.
     scale = [1.0 / max(m, 1e-9 * whole) for m in mass]
     bound = max(sum(abs(square[i * n + j]) * (scale[i] * scale[j]) ** 0.5 for j in range(n)) for i in range(n))
     totals = list(mass)
+    def gap() -> float:
+        return max(abs(t - a) for t, a in zip(target, totals)) / whole
+
     for _ in range(max_rounds):
-        if max(abs(t - a) for t, a in zip(target, totals)) <= tolerance * whole:
+        if gap() <= tolerance:
             break
         steps.append([scale[i] * (target[i] - totals[i]) / bound for i in range(n)])
         rate = _rate(steps, n)
         totals = list(soft.agg(*[F.sum(rate * tokens * F.col(f"p{i}")) for i in range(n)]).first())
-    return steps
+    return steps, gap()
 
 
 #: Steps in a doubling of the factor by which rates may be raised.
@@ -181,8 +190,9 @@ def raise_factor(rated: DataFrame, tolerance: float = TOLERANCE) -> float:
     """The least factor at which raising rates below 1 to 1 moves no share by more than ``tolerance``.
 
     An action: one aggregation to the tokens and expected tokens per step of the rate, which
-    is bounded by the range of a double. The factor's inverse is the end of a step, so what
-    is added below it is exact. No factor raises a rate of zero, so those do not count.
+    is bounded by the range of a double. A rate counts as the lower end of its step, a sixteenth
+    of a doubling wide, so what a factor adds is never underrated. No factor raises a rate of
+    zero, so those do not count.
     """
     step = F.floor(F.log2("rate") * RAISE_STEPS).cast("int")
     tokens = F.col("n_tokens").cast("double")
@@ -193,18 +203,20 @@ def raise_factor(rated: DataFrame, tolerance: float = TOLERANCE) -> float:
         .collect()
     )
     whole = sum(r["expected"] for r in found)
-    low = sorted((r for r in found if r["step"] < 0), key=lambda r: -r["step"])
-    added = sum(r["tokens"] for r in low)
-    expected = sum(r["expected"] for r in low)
-    factor = 1.0
-    for r in low:
-        if added - factor * expected <= tolerance * (added + factor * (whole - expected)):
-            break
-        # Rows of this step have a rate of at least its lower end: none needs raising then.
-        factor = 2.0 ** (-r["step"] / RAISE_STEPS)
-        added -= r["tokens"]
-        expected -= r["expected"]
-    return factor
+    low = [(2.0 ** (r["step"] / RAISE_STEPS), r["tokens"]) for r in found if r["step"] < 0]
+
+    def enough(factor: float) -> bool:
+        added = sum(tokens * max(0.0, 1.0 - factor * rate) for rate, tokens in low)
+        return added <= tolerance * (added + factor * whole)
+
+    if enough(1.0):
+        return 1.0
+    # At the inverse of the smallest rate nothing is added any more; less will mostly do.
+    below, above = 0.0, -log(min(rate for rate, _ in low))
+    for _ in range(60):
+        middle = (below + above) / 2
+        below, above = (below, middle) if enough(exp(middle)) else (middle, above)
+    return exp(above)
 
 
 def repeated(docs: DataFrame, rated: DataFrame, id: str = "doc_id", keep_all: bool = True) -> DataFrame:
@@ -216,12 +228,13 @@ def repeated(docs: DataFrame, rated: DataFrame, id: str = "doc_id", keep_all: bo
     The rows grow by that factor: about fourfold where a domain must shrink to a quarter.
     Texts with a rate of zero, as of a domain without a target, stay once beside that.
     """
-    rate = F.col("__rate")
+    id_, rate_, times_, copy_ = (fresh(docs, name) for name in ("__id", "__rate", "__times", "__copy"))
+    rate = F.col(rate_)
     if keep_all:
         rate = F.greatest(F.lit(1.0), rate * F.lit(raise_factor(rated)))
     part = F.pmod(F.xxhash64(F.col(id), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(rate) + F.when(part < rate - F.floor(rate), 1).otherwise(0)
-    known = rated.select(F.col(id).alias("__id"), F.col("rate").alias("__rate"))
-    joined = docs.join(known, docs[id].eqNullSafe(F.col("__id"))).withColumn("__times", times.cast("int"))
-    copies = joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    known = rated.select(F.col(id).alias(id_), F.col("rate").alias(rate_))
+    joined = docs.join(known, docs[id].eqNullSafe(F.col(id_))).withColumn(times_, times.cast("int"))
+    copies = joined.filter(F.col(times_) > 0).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_))))
     return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from movecheck.llm.common import broadcast_if_small, components, grouped, in_blocks, runs, spanning_edges, staged
+from movecheck.llm.common import broadcast_if_small, components, fresh, grouped, in_blocks, runs, spanning_edges, staged
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -153,6 +155,22 @@ def fingerprint_links(distinct: DataFrame, pivots: PivotTable, block: int = BLOC
     return grouped(dealt, _RUN).mapInArrow(link_batches, "a bigint, b bigint")
 
 
+def _placed(docs: DataFrame, text: str, id: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp) of ``docs``, staged, and rows (fp, root, component_id) of its fingerprints.
+
+    ``root`` names the component, ``component_id`` is its smallest id; with repeated ids two
+    components may have the same.
+    """
+    fps = staged(fingerprints(docs, text, id, shingle))
+    nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(fingerprint_links(nodes, PivotTable(max_bits)))
+    linked = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    firsts = linked.filter("root is not null").groupBy("root").agg(F.min("first").alias("component"))
+    # A root may hold a third of the fingerprints: they stay where they are while the roots are few.
+    joined = linked.join(broadcast_if_small(firsts), "root", "left")
+    return fps, joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -172,24 +190,48 @@ def near_duplicates(
     counts for nothing: its component is the smallest id that is not null, or null. Repeated
     rows are all returned; other columns are ignored; an empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, text, id, shingle))
-    nodes = staged(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(fingerprint_links(nodes, PivotTable(max_bits)))
-    linked = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
-    firsts = linked.filter("root is not null").groupBy("root").agg(F.min("first").alias("component"))
-    # A root may hold a third of the fingerprints: they stay where they are while the roots are few.
-    placed = linked.join(broadcast_if_small(firsts), "root", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    fps, placed = _placed(docs, text, id, shingle, max_bits)
     return fps.join(placed, "fp").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+@F.pandas_udf(LongType())
+def _fingerprint_of(texts: pd.Series, shingle: pd.Series) -> pd.Series:
+    found = np.array([fingerprint(t, int(n)) for t, n in zip(texts, shingle)], dtype=np.uint64)
+    return pd.Series(found.view(np.int64))
+
+
+def deduplicated(
+    docs: DataFrame,
+    text: str = "text",
+    id: str = "doc_id",
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+) -> DataFrame:
     """``docs`` with one row of each component: that with its smallest id.
 
-    Of rows that repeat this id one stays; rows without an id stay (they can't be told apart).
+    A row whose id others repeat is told apart by its fingerprint, so each component keeps a
+    row whatever its id is shared with; of rows that have its smallest id the one with the
+    smallest fingerprint stays, of equals any one. Rows without an id stay (they can't be told
+    apart). Columns may have any names; an empty table stays empty.
+
+    What is decided is decided on ids and fingerprints. The texts aren't sorted, and stay where
+    they are while few ids go; else they move once, in an anti join on the ids.
     """
-    found = near_duplicates(docs, text, id, **options)
-    kept = staged(found.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("__kept")).distinct())
-    stays = docs.join(kept, docs[id] == kept["__kept"], "left_semi").dropDuplicates([id])
-    return stays.unionByName(docs.filter(F.col(id).isNull()))
+    fps, placed = _placed(docs, text, id, shingle, max_bits)
+    found = staged(fps.filter("id is not null").join(placed, "fp"))
+    rows = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component"))
+    rows = staged(rows.select("id", (F.col("n") > 1).alias("many"), (F.col("id") == F.col("component")).alias("first")))
+    id_, fp_ = fresh(docs, "id"), fresh(docs, "fp")
+    moved = broadcast_if_small(rows.filter("many or not first").select(F.col("id").alias(id_)))
+    stays = docs.join(moved, docs[id] == moved[id_], "left_anti")
+    # Rows of repeated ids: of each component one row of its smallest (id, fingerprint).
+    many = broadcast_if_small(rows.filter("many").select(F.col("id").alias(id_)))
+    repeated = docs.join(many, docs[id] == many[id_], "left_semi").withColumn(fp_, _fingerprint_of(text, F.lit(shingle)))
+    least = found.filter("id = component_id").groupBy("root").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    wanted = least.join(rows.filter("many"), "id", "left_semi")
+    wanted = broadcast_if_small(wanted.select(F.col("id").alias(id_), F.col("fp").alias(fresh(repeated, "wanted"))).distinct())
+    same = (repeated[id] == wanted[id_]) & (repeated[fp_] == wanted[wanted.columns[1]])
+    kept = repeated.join(wanted, same, "left_semi").dropDuplicates([id, fp_]).drop(fp_)
+    return stays.unionByName(kept)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import staged
+from movecheck.llm.common import fresh, staged
 
 #: Labelled documents the classifier is fitted on at most (those of the smallest hash).
 MAX_LABELLED = 20_000
@@ -94,6 +94,10 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -40, 40))))
 
 
+#: Words whose features a task remembers; they take about 20 MB.
+MEMO_WORDS = 100_000
+
+
 def held_out(id: str) -> F.Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2
 
@@ -231,10 +235,11 @@ def fit(
     return Classifier(bias, {f: float(w) for f, w in zip(names, weights)})
 
 
-def scored(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """``docs`` with ``__score``, the probability of label 1, from the whole text.
+def scored(docs: DataFrame, model: Classifier, text: str = "text", score_column: str = "__score") -> DataFrame:
+    """``docs`` with ``score_column``, the probability of label 1, from the whole text.
 
-    Null and empty texts get the bias alone. The model is at most ``MAX_FEATURES`` weights.
+    A column of that name is replaced. Null and empty texts get the bias alone; an empty table
+    stays empty. The model is at most ``MAX_FEATURES`` weights.
     """
     share = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -242,13 +247,14 @@ def scored(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict[str, tuple[str, ...]] = {}
         for batch in texts:
-            if len(memo) > 500_000:
+            if len(memo) > MEMO_WORDS:
                 memo.clear()
             yield pd.Series([share.value.score(t, memo) for t in batch], dtype="float64")
 
-    return docs.withColumn("__score", score(F.col(text)))
+    return docs.withColumn(score_column, score(F.col(text)))
 
 
 def without_toxic(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``; columns unchanged."""
-    return scored(docs, model, text).filter(F.col("__score") < threshold).drop("__score")
+    """Rows of ``docs`` that score below ``threshold``; columns unchanged, whatever their names."""
+    score = fresh(docs, "__score")
+    return scored(docs, model, text, score).filter(F.col(score) < threshold).drop(score)

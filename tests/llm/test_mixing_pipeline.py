@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from movecheck.llm import common, mixing, queries
+from movecheck.llm import common, line_dedup, mixing, queries, simhash, toxicity
 from movecheck.llm.byte_bpe import encoder
 
 
@@ -29,7 +29,7 @@ def test_rates_stay_positive_and_least_squares(spark):
     p = draw.dirichlet([0.3, 0.3, 0.3], 200)
     tokens = draw.integers(1, 50, 200)
     soft = spark.createDataFrame([(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p))], "id bigint, n_tokens bigint, p0 double, p1 double, p2 double")
-    steps = mixing.fit_rates(soft, [1.0, 0.0, 0.0], 200, 1e-6)
+    steps, gap = mixing.fit_rates(soft, [1.0, 0.0, 0.0], 200, 1e-6)
     rate = np.array([r.r for r in soft.select("id", mixing._rate(steps, 3).alias("r")).orderBy("id").collect()])
     plain = np.ones(200)
     for step in steps:
@@ -37,6 +37,7 @@ def test_rates_stay_positive_and_least_squares(spark):
     assert np.allclose(rate, plain) and (rate >= 0).all() and (rate == 0).any()
     totals = (p * (rate * tokens)[:, None]).sum(axis=0) / tokens.sum()
     assert totals[0] > 0.85 and totals[1:].max() < 0.1
+    assert gap == pytest.approx(np.abs(totals - [1, 0, 0]).max())
 
 
 def test_posteriors_match_plain_bayes(spark):
@@ -87,10 +88,61 @@ def test_raise_factor_is_what_the_shares_need(spark):
         assert found <= 2 ** (1 / mixing.RAISE_STEPS) / rate.min()
         raised = np.maximum(1, found * rate) * tokens
         assert np.abs(raised / raised.sum() - rate * tokens / (rate @ tokens)).sum() / 2 <= mixing.TOLERANCE
+    # Texts of a hundredth of the tokens at a rate of next to nothing: a hundredfold will do.
+    assert 95 < factor([(99_000, 1.0), (1_000, 1e-12)]) < 106
     # A text of a millionth of the tokens does not repeat all others thousandfold.
     assert factor([(10**6, 0.5), (10**6, 1.5), (1, 0.001)]) < 2.2
 
 
+def test_rates_say_how_far_they_came(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", "xy"[i % 4 == 0]) for i in range(40)], "doc_id bigint, text string, domain string")
+    few = mixing.rates(docs, docs, {"x": 0.4, "y": 0.6}, max_rounds=1).first()
+    assert few.gap > mixing.TOLERANCE
+
+
+def test_tiny_rates_repeat_no_more_than_shares_need(spark):
+    rows = [(i, "a" if i % 100 else "b", 10, 1.0 if i % 100 else 1e-12) for i in range(2_000)]
+    rated = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens bigint, rate double")
+    mixed = mixing.repeated(rated.select("doc_id", "text"), rated).toPandas()
+    assert set(mixed.doc_id) == set(range(2_000)) and len(mixed) < 230_000
+    assert (mixed.text == "b").mean() <= 1.05 * mixing.TOLERANCE
+
+
+def test_clashing_columns_pass_through(spark):
+    """Columns named like the helpers of every stage keep their values."""
+    names = ["__id", "__gone", "__text", "__lines", "__removed", "__rate", "__times", "__copy", "__score", "id", "fp", "wanted"]
+    rows = [(i, f"text {i} of some words\ncommon line", "s%d" % (i % 12), *[f"{n}{i}" for n in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    extra = {r.doc_id: tuple(r[n] for n in names) for r in docs.collect()}
+
+    def unharmed(df):
+        return df.columns == docs.columns and all(tuple(r[n] for n in names) == extra[r.doc_id] for r in df.collect())
+
+    model = toxicity.Classifier(-5.0, {"text": 0.1})
+    assert unharmed(toxicity.without_toxic(docs, model))
+    cleaned = line_dedup.without_boilerplate(docs, lines_column="n_lines", removed_column="n_removed")
+    assert unharmed(cleaned.drop("n_lines", "n_removed")) and cleaned.filter("n_removed = 1").count() == 29
+    assert unharmed(simhash.deduplicated(docs))
+    rated = spark.createDataFrame([(i, 5, 1.0 + i % 2) for i in range(30)], "doc_id bigint, n_tokens bigint, rate double")
+    assert unharmed(mixing.repeated(docs, rated)) and mixing.repeated(docs, rated).count() == 45
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Null and repeated ids with different texts, null and very long texts go through all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(None, "nobody's text of a few words"), (3, None), (3, "another text under an id in use"), (3, "another text under an id in use"), (5, ""), (7, "so " * 200_000)]
+    rows = [tuple(dict(zip(docs.columns, [None] * 9), doc_id=i, text=t, lang="en", source="a", n_chars=0)[c] for c in docs.columns) for i, t in odd]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.staged(stage(spark, docs, sf_dir))
+    texts = encoder(queries.BYTE_BPE, queries.public_tokenizers.PATTERN)
+    found = {(r.doc_id, tuple(r.ids)) for r in docs.filter("doc_id is null or doc_id in (3, 7)").collect()}
+    for i, t in odd:
+        if t and i != 7:
+            assert (i, tuple(texts.encode(t))) in found
+    assert any(i == 7 and len(ids) > 100_000 for i, ids in found)
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}

@@ -103,6 +103,15 @@ def test_pivot_coordinates_never_discard_a_link():
             assert any((x == y).all() for x, y in zip(table.keys(left), table.keys(right)))
 
 
+def test_no_text_goes_with_a_repeated_id(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "one two three four five six"), (9, "one two three four five six"), (5, "alpha beta gamma delta"), (6, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r.doc_id, r.text or "") for r in simhash.deduplicated(df).collect())
+    assert kept == [(5, "alpha beta gamma delta"), (5, "one two three four five six"), (6, "")]
+    plan = simhash.deduplicated(df.limit(3))._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan or "left_anti" in plan.lower()
+
+
 def test_edge_rows(spark):
     rows = [(None, "a b c d", 1), (5, "a b c d", 2), (5, "a b c d", 3), (7, None, 4), (6, "", 5), (9, "q r s t u v", 6), (None, None, 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
