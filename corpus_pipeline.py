@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movecheck.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
-from movecheck.llm.common import staged
+from movecheck.llm.common import discard, fresh, staged
 from movecheck.llm.queries import BYTE_BPE, TARGETS, labelled_domains, table
 
 
@@ -19,10 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site lines; those of which nothing is left go."""
-    cleaned = line_dedup.without_boilerplate(docs)
-    emptied = (F.col("__removed") > 0) & (F.col("__removed") == F.col("__lines"))
+    lines, removed = fresh(docs, "__lines"), fresh(docs, "__removed")
+    cleaned = line_dedup.without_boilerplate(docs, lines_column=lines, removed_column=removed)
+    emptied = (F.col(removed) > 0) & (F.col(removed) == F.col(lines))
     count = F.length("text").cast(docs.schema["n_chars"].dataType)
-    n_chars = F.when(F.col("__removed") > 0, count).otherwise(F.col("n_chars"))
+    n_chars = F.when(F.col(removed) > 0, count).otherwise(F.col("n_chars"))
     return cleaned.filter(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -55,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order from the ``documents`` table, each written as Parquet and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order from the ``documents`` table, each written as Parquet and reread.
+
+    A stage's table goes when the next one is written.
+    """
+    docs, written = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir))
+        discard(written)
+        written = docs
     return docs
