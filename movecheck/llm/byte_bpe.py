@@ -77,7 +77,7 @@ class Encoder:
     linear in the text. Compatibility is decided from the tokens' last merges, and memoised.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(_explicit(pattern))
         self.bytes = {rank: token for token, rank in ranks.items()}
@@ -85,9 +85,9 @@ class Encoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.fits: Memo = Memo()
-        self.pieces: Memo = Memo()
-        self.chunks: Memo = Memo()
+        self.fits: Memo = Memo(memo)
+        self.pieces: Memo = Memo(memo)
+        self.chunks: Memo = Memo(memo)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.joined: dict[tuple[int, int], int] = {}
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
@@ -182,23 +182,25 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, memo: int = MEMO) -> Encoder:
     """This process's encoder for a rank file; built once."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _encoders[path, pattern]
+    if (path, pattern, memo) not in _encoders:
+        _encoders[path, pattern, memo] = Encoder(load_ranks(path), pattern, memo)
+    return _encoders[path, pattern, memo]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", memo: int = MEMO) -> DataFrame:
     """``docs`` with ``ids`` (array<int>), the whole text encoded without special tokens.
 
+    ``memo`` bounds what a worker remembers, about 1 kB an entry.
+
     A null text is encoded as the empty one; other columns pass through and rows may repeat.
     Each row is encoded on its own, so a hot key moves nothing.
     """
-    return _mapped(docs, path, pattern, text, keep_ids=True)
+    return _mapped(docs, path, pattern, text, keep_ids=True, memo=memo)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -206,7 +208,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
     return _mapped(docs, path, pattern, text, keep_ids=False)
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, text: str, keep_ids: bool) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, pattern: str, text: str, keep_ids: bool, memo: int = MEMO) -> DataFrame:
     added = (["ids"] if keep_ids else []) + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c not in added]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
@@ -215,7 +217,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, keep_ids: bool)
         schema = schema.add(name, types[name])
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, memo)
         decimal = {rank: str(rank) for rank in bpe.bytes}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,6 +38,18 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released() -> None:
+    """Give memory that a worker no longer uses back to the machine.
+
+    Workers serve one operator after another; what Arrow and the allocator keep for later adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or what it takes for ``df`` not to have it: columns may be called anything."""
     taken = {c.lower() for c in df.columns}

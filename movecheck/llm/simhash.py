@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from movecheck.llm.common import broadcast_if_small, components, fresh, grouped, in_blocks, runs, spanning_edges, staged
+from movecheck.llm.common import broadcast_if_small, components, fresh, grouped, in_blocks, released, runs, spanning_edges, staged
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+        released()
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(hash_batches, f"id {kind}, fp bigint")

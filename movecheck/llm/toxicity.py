@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import fresh, staged
+from movecheck.llm.common import fresh, released, staged
 
 #: Labelled documents the classifier is fitted on at most (those of the smallest hash).
 MAX_LABELLED = 20_000
@@ -250,6 +250,8 @@ def scored(docs: DataFrame, model: Classifier, text: str = "text", score_column:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
             yield pd.Series([share.value.score(t, memo) for t in batch], dtype="float64")
+        memo.clear()
+        released()
 
     return docs.withColumn(score_column, score(F.col(text)))
 
