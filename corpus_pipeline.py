@@ -40,7 +40,9 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded bytes."""
-    return byte_bpe.encoded(docs.select("doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN).drop("text")
+    texts = docs.select("doc_id", "text")
+    # The workers have served four stages before; the memo leaves room beside what these keep.
+    return byte_bpe.encoded(texts, BYTE_BPE, public_tokenizers.PATTERN, memo=60_000).drop("text")
 
 
 STAGES = [
