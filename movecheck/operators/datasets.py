@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from movecheck.functions.columns import ident, join_by
 from movecheck.session import checkpointed, sized
 
+#: Hash buckets per level in which two tables are compared; the bucket table has no more rows.
+BUCKETS = 16_384
 _WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -37,8 +39,10 @@ def duplicate_keys(df: DataFrame, *, key: Sequence[str]) -> DataFrame:
 def dataset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows whose number of copies differs, with ``left_n`` and ``right_n``.
 
-    Both directions of a multiset difference in one aggregation. Copies are counted
-    before the shuffle and never spelled out again, however many there are.
+    Only rows of hash buckets in which the two sides differ are grouped row by row, so
+    equal tables move nothing but a bucket table. Copies are counted before the shuffle and
+    never spelled out again, however many there are. Empty tables and nulls compare like
+    any others. Maps have no hash: a table with one is grouped whole.
     """
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError(f"columns differ: {left.columns} and {right.columns}")
@@ -46,12 +50,52 @@ def dataset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     tagged = left.select(*columns, F.lit(1).alias("left_n"), F.lit(0).alias("right_n")).unionByName(
         right.select(*columns, F.lit(0).alias("left_n"), F.lit(1).alias("right_n"))
     )
+    if not any(_holds_map(f.dataType) for f in tagged.schema):
+        tagged = _suspects(tagged, columns)
     counted = tagged.groupBy(*columns).agg(
         F.sum("left_n").alias("left_n"), F.sum("right_n").alias("right_n")
     )
     return counted.filter(F.col("left_n") != F.col("right_n"))
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _suspects(tagged: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """Rows in hash buckets whose sides differ in number of rows or in the sums of two hashes.
+
+    Two levels: the buckets that differ are cut again by the second hash, the finer the
+    fewer they are. Either level has at most ``BUCKETS`` rows, which bounds what is broadcast.
+    A bucket that differs passes for equal only if both 64-bit sums agree by chance.
+    """
+    hashes = {"__first": F.xxhash64(*columns), "__second": F.xxhash64(F.lit(BUCKETS), *columns)}
+    ours = F.col("left_n") > 0
+
+    def uneven(rows: DataFrame, *keys: str) -> DataFrame:
+        sums = {"__rows": F.sum(F.col("left_n") - F.col("right_n"))}
+        for name in hashes:
+            value = F.col(name).cast("decimal(28,0)")
+            sums[name] = F.sum(F.when(ours, value).otherwise(-value))
+        found = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
+        return found.filter(" or ".join(f"{k} <> 0" for k in sums)).select(*keys)
+
+    marked = tagged.withColumns(hashes).withColumn("__bucket", F.pmod("__first", F.lit(BUCKETS)))
+    all_of_them = Window.partitionBy(F.lit(0))  # at most BUCKETS rows
+    coarse = uneven(marked, "__bucket").withColumn(
+        "__parts", F.call_function("div", F.lit(BUCKETS), F.count(F.lit(1)).over(all_of_them))
+    )
+    near = marked.join(F.broadcast(coarse), "__bucket").withColumn(
+        "__part", F.pmod("__second", F.col("__parts"))
+    )
+    fine = uneven(near, "__bucket", "__part")
+    return near.join(F.broadcast(fine), ["__bucket", "__part"], "left_semi")
+
+
 def dataset_equality(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: how many rows (copies counted) only one side has, and whether none do."""
     extra = F.col("left_n") - F.col("right_n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
@@ -83,6 +84,49 @@ def test_equality_counts_copies_and_ignores_order(spark):
         datasets.dataset_diff(left, left.drop("s"))
 
 
+@pytest.mark.parametrize("buckets", [7, 16_384])
+def test_diff_by_buckets_equals_counting_all_rows(spark, monkeypatch, buckets):
+    monkeypatch.setattr(datasets, "BUCKETS", buckets)
+    rng = random.Random(5)
+    kinds = "k bigint, s string, d double, a array<int>"
+
+    def row(i):
+        return (i % 90, rng.choice(["x", "", None]), rng.choice([0.0, -0.0, float("nan"), None, 1.5]), [i % 2])
+
+    kept = [row(i) for i in range(600)] + [(7, "hot", 1.0, None)] * 400
+    left = spark.createDataFrame(kept + [row(i) for i in range(40)], kinds)
+    right = spark.createDataFrame(kept[:-3] + [(-1, None, None, None)] * 2, kinds).select("d", "a", "s", "k")
+    for one, two in ((left, right), (left, right.limit(0)), (left.limit(0), right), (left, left.repartition(5))):
+        expected = Counter()
+        for table, sign in ((one, 1), (two, -1)):
+            for r in table.select("k", "s", (F.col("d") + 0.0).cast("string").alias("d"), "a").collect():
+                expected[str(r)] += sign
+        found = datasets.dataset_diff(one, two)
+        columns = ["k", "s", (F.col("d") + 0.0).cast("string").alias("d"), "a"]
+        got = {
+            str(r[0]): r.n
+            for r in found.select(F.struct(*columns), (F.col("left_n") - F.col("right_n")).alias("n")).collect()
+        }
+        assert got == {r: n for r, n in expected.items() if n}
+        assert found.columns == [*one.columns, "left_n", "right_n"]
+
+
+def test_diff_of_equal_tables_moves_the_bucket_table_only(spark, tmp_path):
+    spark.range(50_000).select("id", F.repeat(F.lit("text"), 50).alias("t")).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    found = datasets.dataset_diff(one, one.orderBy(F.col("id").desc()))
+    assert found.collect() == []
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # What is left of the grouping of whole rows: no exchange, nothing to read.
+    assert "EmptyRelation" in final and "Exchange" not in final.split("EmptyRelation")[0]
+
+
+def test_diff_with_maps(spark):
+    df = spark.sql("SELECT map('a', id) AS m FROM range(3)")
+    assert datasets.dataset_equality(df, df).first().identical
+    assert datasets.dataset_diff(df, df.limit(2)).count() == 1
+
+
 def test_rank_within_equals_a_window_on_a_hot_group(spark):
     df = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"),
