@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from movecheck.functions.columns import all_of, ident, join_by, ratio
 from movecheck.session import sized
 
+#: Renamings given as tuples that become one expression; more of them are a table.
+LISTED = 200
+
 
 def _window_sums(day: Column, cutover: date, days: int) -> list[Column]:
     """Row counts before, just before, just after and after the cutover."""
@@ -162,18 +165,42 @@ def volume_conservation(
     )
 
 
+def _renamed_by_case(
+    events: DataFrame, mapping: Sequence[tuple], segment: Sequence[str], event: str, ts: str
+) -> DataFrame:
+    """The renaming as one CASE over ``mapping``, latest date first: no join, nothing written."""
+    day = F.to_date(ident(ts))
+    keys = [*map(ident, segment), ident(event)]
+    renamed = F.when(F.lit(False), F.lit(None).cast("string"))
+    for *values, to, since in sorted((m for m in mapping if m[-1] is not None), key=lambda m: m[-1])[::-1]:
+        applies = all_of(k.eqNullSafe(F.lit(v)) for k, v in zip(keys, values, strict=True))
+        renamed = renamed.when(applies & (day >= F.lit(since)), F.lit(to))
+    return events.withColumn(event, F.coalesce(renamed, ident(event)))
+
+
 def rename_events(
-    events: DataFrame, mapping: DataFrame, *, segment: Sequence[str], event: str, ts: str
+    events: DataFrame, mapping: DataFrame | Sequence[tuple], *, segment: Sequence[str], event: str, ts: str
 ) -> DataFrame:
     """Rename events by segment and date.
 
     ``mapping`` has the segment columns, ``name``, ``renamed_to`` and ``from_date``
-    (inclusive). Where a name is mapped several times the latest date reached wins.
+    (inclusive), as a table or as a list of tuples in this order. Where a name is mapped
+    several times the latest date reached wins; in a list, the last of those with one date.
 
-    The mapping is worked out once, written and counted (an action); a small one is
-    broadcast, so the events do not move. A mapping beyond that size is joined by
-    sort-merge, which adaptive execution splits where one event name dominates.
+    Up to ``LISTED`` tuples become an expression and the call is lazy. A table is worked out
+    once, written and counted (an action); a small one is broadcast, so the events do not
+    move. A mapping beyond that size is joined by sort-merge, which adaptive execution splits
+    where one event name dominates.
     """
+    if not isinstance(mapping, DataFrame):
+        if len(mapping) <= LISTED:
+            return _renamed_by_case(events, mapping, segment, event, ts)
+        kinds = [events.schema[c].dataType.simpleString() for c in segment]
+        names = ", ".join(f"`{c}` {kind}" for c, kind in zip(segment, kinds))
+        mapping = events.sparkSession.createDataFrame(
+            list({(*m[:-2], m[-1]): m for m in mapping}.values()),
+            f"{names}{', ' if names else ''}name string, renamed_to string, from_date date",
+        )
     keys = [*segment, "__name"]
     ordered = Window.partitionBy(*[ident(c) for c in segment], F.col("name")).orderBy("from_date")
     spans = mapping.withColumn("__until", F.lead("from_date").over(ordered)).select(

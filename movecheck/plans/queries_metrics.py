@@ -461,9 +461,7 @@ def _segmented_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def _renamed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with a rename planted in one segment: the artefact the detection must find."""
-    planted = spark.createDataFrame(
-        [(0, "view", "view_v2", CUTOVER)], "segment bigint, name string, renamed_to string, from_date date"
-    )
+    planted = [(0, "view", "view_v2", CUTOVER)]
     return renames.rename_events(
         _segmented_events(spark, sf), planted, segment=["segment"], event="event_type", ts="ts"
     )

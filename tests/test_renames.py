@@ -134,6 +134,35 @@ def test_latest_reached_mapping_wins_and_nulls_match(spark):
     assert out.columns == df.columns
 
 
+def test_listed_mapping_equals_a_table_and_writes_nothing(spark, monkeypatch):
+    df = spark.range(400).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), F.col("id") % 3)).alias("platform"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("e"), F.col("id") % 7)).alias("name"),
+        F.timestamp_add("DAY", (F.col("id") % 20).cast("int"), F.lit(datetime(2025, 1, 1))).alias("ts"),
+    )
+    mapping = [
+        (None, "e1", "one", date(2025, 1, 5)),
+        (None, "e1", "uno", date(2025, 1, 12)),
+        ("p1", None, "unnamed", date(2025, 1, 1)),
+        ("p2", "e3", None, date(2025, 1, 9)),
+        ("p2", "e3", "three", date(2025, 1, 3)),
+    ]
+    how = dict(segment=["platform"], event="name", ts="ts")
+    as_table = spark.createDataFrame(mapping, "platform string, name string, renamed_to string, from_date date")
+    expected = renames.rename_events(df, as_table, **how).collect()
+    monkeypatch.setattr(renames, "sized", None)  # nothing may be staged
+    listed = renames.rename_events(df, mapping, **how)
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert listed.columns == df.columns and sorted(map(str, listed.collect())) == sorted(map(str, expected))
+    assert renames.rename_events(df, [], **how).collect() == df.collect()
+    same_day = [("p1", "e2", "x", date(2025, 1, 1)), ("p1", "e2", "y", date(2025, 1, 1))]
+    assert "y" in {r.name for r in renames.rename_events(df, same_day, **how).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(renames, "LISTED", 1)  # a long list is a table
+    assert sorted(map(str, renames.rename_events(df, mapping, **how).collect())) == sorted(map(str, expected))
+    assert {r.name for r in renames.rename_events(df, same_day, **how).collect()} >= {"y"}
+
+
 def test_mapping_beyond_the_broadcast_size_is_joined_all_the_same(spark, monkeypatch):
     from movecheck import session
 
