@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from movecheck.functions.columns import ident, join_by
 
 PREVIEW_ROWS = 20  # Fixed value: rows shown of a table.
+#: Up to so many rows of a group the planner cuts a ranking before the shuffle.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def query_index(queries: DataFrame, reports: DataFrame, *, results: str = "results") -> DataFrame:
@@ -60,9 +62,13 @@ def preview(
     """The first ``limit`` rows of each table, its total rows and a truncation mark.
 
     Either way only ``limit`` rows per table and input split ever move: a plain top-n
-    without ``by``, a window the planner limits before the shuffle with it.
+    without ``by``, a window the planner limits before the shuffle with it. The planner
+    does that up to a limit of its own, which is raised in the session where ``limit`` is above.
     """
     if by:
+        conf = df.sparkSession.conf
+        if int(conf.get(GROUP_LIMIT)) < limit:
+            conf.set(GROUP_LIMIT, str(limit))
         place = Window.partitionBy(*[ident(c) for c in by]).orderBy(*order)
         first = df.withColumn("position", F.row_number().over(place)).filter(
             F.col("position") <= limit
