@@ -484,7 +484,8 @@ def blocked_columns(spark: SparkSession, sf: str) -> DataFrame:
     WITH {_CATALOG_SQL},
     extra AS (
       SELECT DISTINCT lower(p_name) AS key FROM part WHERE p_size = 2 AND NOT contains(p_name, ' ')
-      UNION SELECT DISTINCT lower(split_part(p_name, ' ', -1)) || '+count' FROM part WHERE p_size = 2)
+      UNION SELECT DISTINCT word || '+count'
+      FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part WHERE p_size = 2))
     SELECT "table", ordinal, "column",
            blocked OR list_has_any(t || list_transform(range(1, len(t)), lambda i: t[i] || '+' || t[i + 1]),
                                    (SELECT list(key) FROM extra)) AS blocked
@@ -495,9 +496,8 @@ def column_policy_with_extras(spark: SparkSession, sf: str) -> DataFrame:
     """Extra patterns taken from the data, met by equi-join."""
     part = table(spark, sf, "part").filter(F.col("p_size") == 2)
     words = part.filter(~F.contains("p_name", F.lit(" "))).select(F.lower("p_name").alias("key"))
-    pairs = part.select(
-        F.concat(F.element_at(F.split(F.lower("p_name"), " "), F.lit(-1)), F.lit("+count")).alias("key")
-    )
+    word = F.explode(F.split(F.lower("p_name"), " ")).alias("word")
+    pairs = part.select(word).select(F.concat("word", F.lit("+count")).alias("key"))
     return policy.flag_catalog(
         _product_catalog(spark, sf), patterns=words.unionByName(pairs).distinct()
     )
