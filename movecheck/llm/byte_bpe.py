@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
+from movecheck.llm.common import resident
+
 #: Entries of each generation of a worker's memo; two generations are kept.
 MEMO = 250_000
 #: Fixed value: Unicode white space, as the pattern's \s means it.
@@ -182,14 +184,9 @@ class Encoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, str, int], Encoder] = {}
-
-
 def encoder(path: str, pattern: str, memo: int = MEMO) -> Encoder:
-    """This process's encoder for a rank file; built once."""
-    if (path, pattern, memo) not in _encoders:
-        _encoders[path, pattern, memo] = Encoder(load_ranks(path), pattern, memo)
-    return _encoders[path, pattern, memo]
+    """This process's encoder for a rank file; built once, kept until another operator's tasks come."""
+    return resident(("byte_bpe", path, pattern, memo), lambda: Encoder(load_ranks(path), pattern, memo))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", memo: int = MEMO) -> DataFrame:

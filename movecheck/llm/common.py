@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,27 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, kept in this worker from task to task until another thing is asked for.
+
+    A worker serves one operator after another, so it keeps the latest thing alone.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Forget what an earlier operator left in this worker: called where a task keeps nothing itself."""
+    if _resident:
+        _resident.clear()
+        released()
+
+
 def released() -> None:
     """Give memory that a worker no longer uses back to the machine.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from movecheck.llm.common import broadcast_if_small, components, fresh, grouped, in_blocks, released, runs, spanning_edges, staged
+from movecheck.llm.common import broadcast_if_small, components, fresh, grouped, in_blocks, released, runs, spanning_edges, staged, vacate
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", shingl
     """Rows (id, fp) with the fingerprint as a signed long; one row per row of ``docs``."""
 
     def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movecheck.llm.common import fresh, released, staged
+from movecheck.llm.common import fresh, released, staged, vacate
 
 #: Labelled documents the classifier is fitted on at most (those of the smallest hash).
 MAX_LABELLED = 20_000
@@ -245,6 +245,7 @@ def scored(docs: DataFrame, model: Classifier, text: str = "text", score_column:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vacate()
         memo: dict[str, tuple[str, ...]] = {}
         for batch in texts:
             if len(memo) > MEMO_WORDS:

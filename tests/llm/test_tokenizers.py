@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from movecheck.llm import byte_bpe, token_counts
+from movecheck.llm import byte_bpe, common, token_counts
 from movecheck.llm.queries import BYTE_BPE, QUERIES, WORD_BPE
 
 ODD = [
@@ -119,3 +119,15 @@ def test_memo_stays_bounded():
         memo.keep(i, i)
         assert len(memo) + len(memo.old) <= 20
     assert memo.recall(999) == 999 and memo.recall(0) is None
+
+
+def test_a_worker_keeps_the_latest_table_alone():
+    made = []
+    build = lambda name: lambda: made.append(name) or [name]
+    first = common.resident("a", build("a"))
+    assert common.resident("a", build("a")) is first and made == ["a"]
+    common.resident("b", build("b"))
+    assert common.resident("a", build("a")) == ["a"] and made == ["a", "b", "a"]
+    common.vacate()
+    assert common.resident("a", build("a")) == ["a"] and made == ["a", "b", "a", "a"]
+    common.vacate()
