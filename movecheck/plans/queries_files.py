@@ -13,7 +13,7 @@ from movecheck.plans.audited_run import AuditError, audited_run
 from movecheck.plans.queries_quality import trace_lines
 from movecheck.plans.registry import query, table
 from movecheck.session import scratch_folder
-from movecheck.sources import files
+from movecheck.sources import csv_ranges, files
 from movecheck.sources import tables as sources
 
 
@@ -297,3 +297,19 @@ def csv_texts(spark: SparkSession, sf: str) -> DataFrame:
         FROM texts WHERE quoted = concat(' "a, b"\\n', text, '\\n"" ')
         """,
     )
+
+
+@query(
+    """
+    SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars, lang, source FROM documents
+    """
+)
+def csv_ranges_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with quotes and line breaks in a CSV table, read by byte ranges."""
+    folder = scratch_folder(spark)
+    texts = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    files.write_result(texts, f"{folder}/texts.csv", format="csv")
+    found = csv_ranges.read_split(spark, f"{folder}/texts.csv", texts.schema)
+    return found.select(
+        "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "lang", "source"
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from movecheck.functions.names import is_blocked, view_name
 from movecheck.operators.policy import register
+from movecheck.sources.csv_ranges import DIALECT, longest_file, read_split
 from movecheck.sources.enforcement import check_sources, check_text
 
 
@@ -65,15 +66,18 @@ def register_folder(
     A table is one file or a folder of part files, named ``<table>.<format>``. CSV files
     have a header, quotes inside quotes are doubled and quoted texts may hold line breaks;
     types are inferred unless ``schemas`` holds the view's schema, which saves a pass over
-    the file. Quoted line breaks make a CSV file one task; Parquet brings its own schema, is
-    split and is the format to use at scale. Returns the registered tables by view name, in
-    file order.
+    the file. A table with a file longer than one range (``spark.sql.files.maxPartitionBytes``)
+    is read by ranges (``csv_ranges``), with the same rows. Parquet brings its own schema and is
+    read once. Returns the registered tables by view name, in file order.
     """
     extras, schemas = tuple(extras), schemas or {}
+    one_range = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     tables = {}
     for name, path in view_names(list_tables(spark, folder, f".{format}")).items():
-        if format == "csv":
-            reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+        if format == "csv" and longest_file(spark, path) > one_range:
+            df = read_split(spark, path, schemas.get(name))
+        elif format == "csv":
+            reader = spark.read.options(header=True, **DIALECT)
             given = schemas.get(name)
             reader = reader.schema(given) if given else reader.option("inferSchema", True)
             df = reader.csv(path)
