@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 Message = tuple[str, str]
 Render = Callable[[Sequence[Message]], str]
 
-#: Turns of a long conversation that are rendered together to locate them.
-WINDOW = 32
 _OPEN = {"system": "<<SYS>> ", "user": "[INST] ", "assistant": " "}
 _CLOSE = {"system": " <</SYS>>\n", "user": " [/INST]", "assistant": " </s>\n"}
 _MARK = re.compile(r"\\.|<<SYS>> | <</SYS>>\n|\[INST\] | \[/INST\]| </s>\n|<<ROLE (?:\\.|[^\\>])*>> | <</ROLE>>\n", re.S)
@@ -87,14 +85,18 @@ def _added(render: Render, before: Sequence[Message], known: str, message: Messa
     return span, lead, len(span) - tail
 
 
-def locate(render: Render, messages: Sequence[Message], window: int = WINDOW) -> Located:
+def locate(render: Render, messages: Sequence[Message], window: int | None = None) -> Located:
     """Render a conversation and find every turn by comparing successive prefixes.
 
     ``render`` is a black box. A prefix's output that the next one doesn't begin with means
-    that the template rewrites history; this is reported with the turn. Conversations longer
-    than ``window`` are located in stretches of that length after the first turn, so
-    the work stays linear; the stretches' spans must then add up to the output for the whole
-    conversation, else (the template looks further back) all prefixes are rendered.
+    that the template rewrites history; this is reported with the turn. Every prefix is rendered,
+    whatever the length, because a template may rewrite at any turn: the work grows with the square
+    of a conversation's length. What the template makes of no turns stands before the first span.
+
+    Who knows that a template looks back one turn at most may give a ``window``: conversations
+    beyond it are located in stretches of that length after the first turn, in linear time. The
+    stretches' spans must then add up to the output for the whole conversation, else all
+    prefixes are rendered; a template that rewrites only by length is not noticed.
     """
     whole = render(messages)
 
@@ -109,20 +111,21 @@ def locate(render: Render, messages: Sequence[Message], window: int = WINDOW) ->
         return found
 
     pieces: list[tuple[str, int, int]] | int = []
-    if len(messages) > window:
+    preamble = render([])
+    if window and len(messages) > window:
         for start in range(0, len(messages), window):
             some = stretch([] if not start else [messages[0], messages[start - 1]], messages[start : start + window])
             if isinstance(some, int):
                 pieces = -1
                 break
             pieces += some
-        if pieces == -1 or "".join(p[0] for p in pieces) != whole:
+        if pieces == -1 or preamble + "".join(p[0] for p in pieces) != whole:
             pieces = stretch([], messages)
     else:
         pieces = stretch([], messages)
     if isinstance(pieces, int):
         return Located(whole, [], [], pieces)
-    spans, inner, at = [], [], 0
+    spans, inner, at = [], [], len(preamble)
     for span, start, end in pieces:
         spans.append((at, at + len(span)))
         inner.append((at + start, at + end))
@@ -141,17 +144,19 @@ def formatted(
     role: str = "role",
     text: str = "text",
     loss_roles: Sequence[str] = ("assistant",),
+    window: int | None = None,
 ) -> DataFrame:
     """Rows (id, formatted, turns, rewrites_at), one per conversation.
 
     ``turns`` lists every turn's span in ``formatted``, its text's span within that and
     whether the loss counts there; ``rewrites_at`` is the turn (from 0) at which the template
-    changed earlier output, with no spans then, else null.
+    changed earlier output, with no spans then, else null. ``window`` as for ``locate``.
 
     Turns are taken in the order of ``turn``; ties go by role and text, repeated rows stay.
     Null texts and roles are empty; a null turn comes first; rows with a null id are one
     conversation. Other columns are ignored; an empty table gives no rows. A conversation is
-    one row however long it is, as it becomes one text; nothing else is gathered.
+    one row however long it is, as it becomes one text (2 GB at most); nothing else is gathered.
+    A column of the input called like a result column does no harm.
     """
     kind = conversations.schema[id].dataType.simpleString()
     said = F.struct(
@@ -168,7 +173,7 @@ def formatted(
                 texts, turns, rewrites = [], [], []
                 for said_ in batch.column(1):
                     messages = [(m["role"], m["text"]) for m in said_.as_py()]
-                    found = locate(render, messages)
+                    found = locate(render, messages, window)
                     texts.append(found.text)
                     rewrites.append(found.rewrites)
                     turns.append(

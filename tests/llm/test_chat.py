@@ -44,18 +44,18 @@ def test_any_conversation_comes_back(turns):
 @settings(max_examples=60, deadline=None)
 @given(_TURNS.filter(lambda t: len(t) > 3))
 def test_windows_find_the_same_spans(turns):
-    assert chat.locate(chat.instruct_template, turns, window=2) == chat.locate(chat.instruct_template, turns, window=100)
+    assert chat.locate(chat.instruct_template, turns, window=2) == chat.locate(chat.instruct_template, turns)
 
 
-def test_long_conversations_stay_linear():
+def test_long_conversations_stay_linear_with_a_window():
     calls = []
 
     def render(messages):
         calls.append(len(messages))
         return chat.instruct_template(messages)
 
-    found = chat.locate(render, [("user" if i % 2 else "assistant", f"text {i}") for i in range(3000)])
-    assert len(found.spans) == 3000 and sum(calls) < 3000 * 4 * chat.WINDOW
+    found = chat.locate(render, [("user" if i % 2 else "assistant", f"text {i}") for i in range(3000)], window=32)
+    assert len(found.spans) == 3000 and sum(calls) < 3000 * 4 * 32
 
 
 def test_rewriting_templates_are_detected():
@@ -71,6 +71,24 @@ def test_rewriting_templates_are_detected():
     assert chat.locate(forgets, turns[:2]).rewrites is None
 
 
+def test_a_rewrite_by_length_is_detected_at_any_length():
+    def at_exactly(n):
+        return lambda messages: ("!" if len(messages) == n else "?") + "".join(f"<{r}>{t}" for r, t in messages)
+
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(200)]
+    for n in (1, 2, 31, 32, 33, 50, 64, 199, 200):
+        assert chat.locate(at_exactly(n), turns).rewrites == n - 1
+    assert chat.locate(at_exactly(201), turns).rewrites is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(_TURNS)
+def test_what_stands_before_all_turns(turns):
+    found = chat.locate(lambda messages: "<s>\n" + chat.instruct_template(messages), turns)
+    assert [chat.read_turn(found.text[a:b]) for a, b in found.spans] == turns
+    assert found == chat.locate(lambda messages: "<s>\n" + chat.instruct_template(messages), turns, window=2)
+
+
 def test_templates_that_look_back_are_located():
     def numbered(messages):
         return "".join(f"{i}:{r}:{t};" for i, (r, t) in enumerate(messages))
