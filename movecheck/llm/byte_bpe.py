@@ -166,7 +166,10 @@ class Encoder:
         if known is None:
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
-            known = (whole,) if whole is not None else tuple(self._cover(raw.decode("latin-1")) or ())
+            found = [whole] if whole is not None else self._cover(raw.decode("latin-1"))
+            if found is None:
+                raise ValueError(f"no tokens cover {piece!r}: the ranks lack a byte")
+            known = tuple(found)
             self.pieces.keep(piece, known)
         return known
 
@@ -194,14 +197,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", memo:
 
     ``memo`` bounds what a worker remembers, about 1 kB an entry.
 
-    A null text is encoded as the empty one; other columns pass through and rows may repeat.
-    Each row is encoded on its own, so a hot key moves nothing.
+    A null text is encoded as the empty one; other columns pass through, but for one called like
+    a result column, which is replaced. An empty table gives an empty one. A very long text is
+    encoded whole in its task. Rows may repeat: a text equal to the one before it is not encoded
+    again, so copies that lie together cost one. No row moves, so a hot key doesn't matter.
     """
     return _mapped(docs, path, pattern, text, keep_ids=True, memo=memo)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` instead of the ids."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` instead of the ids.
+
+    Nulls, empty tables, repeated rows and clashing names as for ``encoded``.
+    """
     return _mapped(docs, path, pattern, text, keep_ids=False)
 
 
@@ -216,18 +224,23 @@ def _mapped(docs: DataFrame, path: str, pattern: str, text: str, keep_ids: bool,
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern, memo)
         decimal = {rank: str(rank) for rank in bpe.bytes}
+        last, ids, ids_digest, decoded_digest = None, [], "", ""
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 found: dict[str, list] = {name: [] for name in types}
                 for value in batch.column(batch.schema.get_field_index(text)):
-                    ids = bpe.encode(value.as_py() or "")
+                    now = value.as_py() or ""
+                    if now != last:
+                        last, ids = now, bpe.encode(now)
+                        listed = " ".join(map(decimal.__getitem__, ids))
+                        ids_digest = hashlib.sha256(listed.encode()).hexdigest()
+                        decoded_digest = hashlib.sha256(bpe.decode(ids)).hexdigest()
                     if keep_ids:
                         found["ids"].append(ids)
-                    listed = " ".join(map(decimal.__getitem__, ids))
                     found["n_tokens"].append(len(ids))
-                    found["ids_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
-                    found["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    found["ids_sha256"].append(ids_digest)
+                    found["decoded_sha256"].append(decoded_digest)
                 arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 columns += [pa.array(found[name], arrow.get(name, pa.string())) for name in added]

@@ -113,6 +113,22 @@ def test_encoded_keeps_columns(spark, reference):
     assert byte_bpe.encoded(df.limit(0), BYTE_BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_copies_that_lie_together(spark, reference):
+    texts = ["one two", "one two", None, "", None, "a b", "one two", "one two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for row in byte_bpe.encoded(df, BYTE_BPE, public_tokenizers.PATTERN).collect():
+        assert row.ids == reference.encode_ordinary(texts[row.doc_id] or "") and row.n_tokens == len(row.ids)
+        assert row.decoded_sha256 == hashlib.sha256((texts[row.doc_id] or "").encode()).hexdigest()
+
+
+def test_a_text_without_tokens_is_an_error():
+    ranks = {bytes([b]): b for b in range(256) if b != ord("z")}
+    lacking = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, 10)
+    assert lacking.encode("ab") == [97, 98]
+    with pytest.raises(ValueError, match="no tokens cover"):
+        lacking.encode("az")
+
+
 def test_memo_stays_bounded():
     memo = byte_bpe.Memo(10)
     for i in range(1000):
