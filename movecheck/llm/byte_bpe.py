@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -22,9 +24,14 @@ MEMO = 250_000
 WHITE = "\t-\r " + "".join(
     map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-#: An optional space with what stands up to the next white space, or a stretch of white
-#: space. The pattern's matches never reach over the ends of such chunks.
-_CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+#: Fixed value: letters and digits of Latin and Cyrillic, by any version of Unicode.
+WORD = "0-9A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+#: Fixed value: ASCII signs that are no letters or digits, but for the apostrophe.
+SIGNS = r"!-&(-/:-@\[-`{-~"
+#: An optional space with a word before a sign, or with what stands up to the next white space,
+#: or a stretch of white space. The pattern's matches never reach over the ends of such chunks:
+#: none holds a letter or digit and a sign after it.
+_CHUNK = re.compile(f" ?[{WORD}]++(?=[{SIGNS}])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 
 
 def _explicit(pattern: str) -> str:
@@ -42,11 +49,21 @@ def _explicit(pattern: str) -> str:
 
 
 class Memo(dict):
-    """A bounded memo: when the young generation is full it becomes the old one."""
+    """A bounded memo: when the young generation is full it becomes the old one.
 
-    def __init__(self, limit: int = MEMO) -> None:
+    What is asked for by ``memo[key]`` and in neither is made by ``build`` and kept.
+    """
+
+    def __init__(self, limit: int = MEMO, build: Callable | None = None) -> None:
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.build, self.old = limit, build, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.build(key)
+        self.keep(key, value)
+        return value
 
     def recall(self, key):
         value = self.get(key)
@@ -83,18 +100,32 @@ class Encoder:
         self.ranks = ranks
         self.pattern = regex.compile(_explicit(pattern))
         self.bytes = {rank: token for token, rank in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.shorter = {rank: self._prefix(token) for token, rank in ranks.items()}
+        self.single = {token.decode("latin-1"): rank for token, rank in ranks.items() if len(token) == 1}
+        automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
-        self.fits: Memo = Memo(memo)
-        self.pieces: Memo = Memo(memo)
-        self.chunks: Memo = Memo(memo)
+            if len(token) > 1:
+                automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
+        automaton.make_automaton()
+        # Without a token to find there is no automaton.
+        self.matches = automaton.iter if len(automaton) else lambda piece: ()
+        self.fits: Memo = Memo(memo, self._compatible)
+        self.pieces: Memo = Memo(memo, self._piece)
+        self.chunks: Memo = Memo(memo, self._chunk)
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.joined: dict[tuple[int, int], int] = {}
         for token, rank in sorted(ranks.items(), key=lambda item: item[1]):
             self._learn(token, rank)
 
+    def _prefix(self, token: bytes) -> int | None:
+        """The longest other token that ``token`` begins with."""
+        for size in range(len(token) - 1, 0, -1):
+            rank = self.ranks.get(token[:size])
+            if rank is not None:
+                return rank
+        return None
+
     def _learn(self, token: bytes, rank: int) -> None:
         """The last merge that makes ``token``: the tokens its bytes give when it isn't there yet."""
         self.parts[rank] = None
@@ -106,17 +137,14 @@ class Encoder:
             self.joined[halves[0], halves[1]] = rank
             self.fits.keep((halves[0], halves[1]), False)
 
-    def _compatible(self, left: int, right: int) -> bool:
+    def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether the bytes of both tokens, merged by rank, are these two tokens again.
 
         The later of the two tokens is undone step by step. A merge of the tokens facing each
         other at the boundary that comes before the step that made either of them would have
         taken place, and the boundary would be gone.
         """
-        known = self.fits.recall((left, right))
-        if known is not None:
-            return known
-        bound, a, b, good = len(self.ranks) + 1, left, right, None
+        bound, (a, b), good = len(self.ranks) + 1, pair, None
         while good is None:
             across = self.joined.get((a, b))
             if across is not None and across < bound:
@@ -127,61 +155,56 @@ class Encoder:
                 bound, a = a, self.parts[a][1]
             else:
                 bound, b = b + 1, self.parts[b][0]
-        self.fits.keep((left, right), good)
         return good
 
-    def _cover(self, piece: str, below: int | None = None) -> list[int] | None:
-        size = len(piece)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, (rank, length) in self.automaton.iter(piece):
-            if below is None or rank < below:
-                starting[end - length + 1].append((length, rank))
-        for found in starting:
-            found.sort()
+    def _cover(self, piece: str, below: int = sys.maxsize) -> list[int] | None:
+        size, lengths, shorter, fits = len(piece), self.lengths, self.shorter, self.fits
+        # The longest token from each position: of matches with one start, the last to end.
+        longest = list(map(self.single.get, piece))
+        for end, (rank, before) in self.matches(piece):
+            longest[end - before] = rank
         dead = bytearray(size + 1)
         tokens: list[int] = []
-        ends: list[int] = [0]
-        choices = [list(starting[0])] if size else []
-        while ends[-1] < size:
-            options = choices[-1]
-            while options:
-                length, rank = options.pop()
-                end = ends[-1] + length
-                if not dead[end] and (not tokens or self._compatible(tokens[-1], rank)):
-                    tokens.append(rank)
-                    ends.append(end)
-                    choices.append(list(starting[end]) if end < size else [])
+        at, last, rank = 0, None, longest[0] if size else None
+        while at < size:
+            while rank is not None:
+                end = at + lengths[rank]
+                if rank < below and not dead[end] and (last is None or fits[last, rank]):
                     break
+                rank = shorter[rank]
+            if rank is not None:
+                tokens.append(rank)
+                at, last = end, rank
+                rank = longest[at] if at < size else None
+            elif tokens:
+                dead[at] = 1
+                rank = tokens.pop()
+                at -= lengths[rank]
+                last = tokens[-1] if tokens else None
+                rank = shorter[rank]
             else:
-                if not tokens:
-                    return None
-                dead[ends.pop()] = 1
-                tokens.pop()
-                choices.pop()
+                return None
         return tokens
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
-        known = self.pieces.recall(piece)
-        if known is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            found = [whole] if whole is not None else self._cover(raw.decode("latin-1"))
-            if found is None:
-                raise ValueError(f"no tokens cover {piece!r}: the ranks lack a byte")
-            known = tuple(found)
-            self.pieces.keep(piece, known)
-        return known
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
+        if whole is not None:
+            return (whole,)
+        found = self._cover(raw.decode("latin-1"))
+        if found is None:
+            raise ValueError(f"no tokens cover {piece!r}: the ranks lack a byte")
+        return tuple(found)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        pieces = self.pattern.findall(chunk)
+        if len(pieces) == 1:  # the memo of chunks will know it
+            return self._piece(pieces[0])
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for chunk in _CHUNK.findall(text):
-            known = self.chunks.recall(chunk)
-            if known is None:
-                known = tuple(i for p in self.pattern.findall(chunk) for i in self.piece(p))
-                self.chunks.keep(chunk, known)
-            ids += known
-        return ids
+        return list(chain.from_iterable(map(self.chunks.__getitem__, _CHUNK.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))

@@ -1,10 +1,12 @@
 """Token counts and byte-level BPE against the tokenizer libraries."""
 
 import hashlib
+import sys
 
 import pandas as pd
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +106,37 @@ def test_common_letters_encode_as_the_library(reference, mine, text):
     assert mine.encode(text) == reference.encode_ordinary(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abéй09½²Ⅷ_'.,!`~#\xa0 \n", max_size=60))
+def test_signs_after_words_encode_as_the_library(reference, mine, text):
+    assert mine.encode(text) == reference.encode_ordinary(text)
+
+
+def test_words_and_signs_are_what_the_pattern_means():
+    every = "".join(map(chr, range(0x500)))
+    assert regex.sub(r"[\p{L}\p{N}]", "", "".join(regex.findall(f"[{byte_bpe.WORD}]", every))) == ""
+    assert regex.findall(r"[\s\p{L}\p{N}']", "".join(regex.findall(f"[{byte_bpe.SIGNS}]", every))) == []
+
+
+def test_known_words_cost_no_call_each(reference):
+    bpe = byte_bpe.Encoder(byte_bpe.load_ranks(BYTE_BPE), public_tokenizers.PATTERN)
+    bpe.encode("unheardword otherword, thirdwordly.")
+    text = " otherword unheardword, thirdwordly." * 100
+    bpe.encode(text)
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        ids = bpe.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert ids == reference.encode_ordinary(text) and len(calls) < 10
+    # A word is known whichever sign follows it.
+    for n, sign in enumerate("!?;:"):
+        known = len(bpe.chunks)
+        bpe.encode(f" otherword{sign} unheardword{sign} thirdwordly{sign}")
+        assert len(bpe.chunks) == known + 1, n
+
+
 def test_encoded_keeps_columns(spark, reference):
     rows = [(i, t, "z") for i, t in enumerate(ODD)]
     df = spark.createDataFrame(rows, "id bigint, text string, ids string")
