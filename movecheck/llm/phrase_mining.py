@@ -46,17 +46,8 @@ _TABLE = bytes.maketrans(
 )
 
 
-class _Codes(dict):
-    """Code of each word of one language within a block; -1 is the end of a piece."""
-
-    def __init__(self, lang: str, words: list[tuple[str, bytes]]) -> None:
-        super().__init__({_SEPARATOR: -1})
-        self.lang, self.words = lang, words
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self.words)
-        self.words.append((self.lang, word))
-        return code
+#: Words of a language that wait as Python objects before they become Arrow's.
+_WAITING = 20_000
 
 
 def coded(docs: DataFrame, text: str, lang: str, shards: int, seed: int, block_words: int) -> DataFrame:
@@ -68,25 +59,39 @@ def coded(docs: DataFrame, text: str, lang: str, shards: int, seed: int, block_w
 
     def code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block = TaskContext.get().partitionId(), 0
-        words: list[tuple[str, bytes]] = []
-        langs: dict[str, _Codes] = {}
-        parts: list[np.ndarray] = []
+        waiting: dict[str, list[bytes]] = {}
+        packed: dict[str, list[pa.Array]] = {}
         size = 0
 
+        def pack(said: str) -> None:
+            packed.setdefault(said, []).append(pa.array(waiting[said], pa.large_binary()))
+            waiting[said] = []
+
         def flush() -> pa.RecordBatch:
-            nonlocal words, langs, parts, size, block
+            nonlocal waiting, packed, size, block
+            words: list[bytes] = []
+            langs: list[str] = []
+            parts: list[np.ndarray] = []
+            for said in waiting:
+                pack(said)
+                encoded = pa.concat_arrays(packed.pop(said)).dictionary_encode()
+                at = encoded.indices.to_numpy()
+                # The separator came first: it is 0 in each language, and -1 in the block.
+                parts.append(np.where(at == 0, -1, at + (len(words) - 1)).astype(np.int32))
+                words += encoded.dictionary.to_pylist()[1:]
+                langs += [said] * (len(words) - len(langs))
             codes = np.concatenate(parts)
             counts = np.bincount(codes[codes >= 0], minlength=len(words))
-            hashes = [xxhash.xxh64_intdigest(l.encode() + _SEPARATOR + w, seed) for l, w in words]
+            hashes = [xxhash.xxh64_intdigest(l.encode() + _SEPARATOR + w, seed) for l, w in zip(langs, words)]
             row = {
                 "shard": (task + block) % shards,
-                "words": [w.decode("utf-8", "replace") for _, w in words],
-                "langs": [l for l, _ in words],
+                "words": [w.decode("utf-8", "replace") for w in words],
+                "langs": langs,
                 "hashes": np.array(hashes, dtype=np.uint64).view(np.int64),
                 "counts": counts,
                 "codes": codes.astype("<i4").tobytes(),
             }
-            words, langs, parts, size, block = [], {}, [], 0, block + 1
+            waiting, packed, size, block = {}, {}, 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
@@ -95,12 +100,14 @@ def coded(docs: DataFrame, text: str, lang: str, shards: int, seed: int, block_w
                 if not value:
                     continue
                 said = UNKNOWN_LANG if said is None else said
-                if said not in langs:
-                    langs[said] = _Codes(said, words)
+                if said not in waiting:
+                    waiting[said] = [_SEPARATOR]
                 found = value.translate(_TABLE).replace(_SEPARATOR, b" \xff ").split()
                 found.append(_SEPARATOR)
-                parts.append(np.fromiter(map(langs[said].__getitem__, found), np.int32, len(found)))
+                waiting[said] += found
                 size += len(found)
+                if len(waiting[said]) >= _WAITING:
+                    pack(said)
                 if size >= block_words:
                     yield flush()
         if size:
@@ -194,6 +201,15 @@ def scanned(blocks: DataFrame, step: int, shards: int, max_words: int, shared: B
     return blocks.filter(F.col("shard") == step % shards).select("hashes", "codes").mapInArrow(count_batches, ", ".join(kinds))
 
 
+def summed(phrases: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (k, start, h0, …, n): the counts of each phrase added up.
+
+    The rows move before they are grouped: blocks were summed already, and grouping them once more
+    beforehand took off 0.1 % of them on 0.10 GB and 3 to 5 % on 0.51 GB.
+    """
+    return phrases.repartition(*names).groupBy("k", "start", *names).agg(F.sum("n").alias("n"))
+
+
 def _reach(first: np.ndarray, reached: DataFrame, names: list[str], step: int) -> None:
     """Note the step in the slots of ``reached`` that are still empty (an action).
 
@@ -216,7 +232,9 @@ def _frequent(docs: DataFrame, text: str, lang: str, min_count: int, max_words:
     blocks = spark.read.schema(schema).parquet(folder)
     names = [f"h{j}" for j in range(max_words)]
     firsts = [np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for _ in range(max_words - 1)]
-    words = phrases = None
+    words = phrases = written = None
+    done: list[DataFrame] = []
+    often = F.col("n") >= min_count
     # A phrase of k words is active from step (k - 1) * shards at the latest.
     for step in range(shards * max_words):
         if step < shards:
@@ -228,24 +246,27 @@ def _frequent(docs: DataFrame, text: str, lang: str, min_count: int, max_words:
             words = staged(words.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")))
             discard(old)
             if step == shards - 1 and words.groupBy("h").count().filter("count > 1").take(1):
-                discard(words, phrases, blocks)
+                discard(words, written, blocks)
                 return None
         if step:
             shared = spark.sparkContext.broadcast([zlib.compress(x, 1) for x in firsts])
             new = scanned(blocks, step, shards, max_words, shared)
-            old, phrases = phrases, new if phrases is None else phrases.unionByName(new)
-            phrases = phrases.groupBy("k", "start", *names).agg(F.sum("n").alias("n"))
+            phrases = new if phrases is None else phrases.unionByName(new)
             # What has been through its cycle is exact; if it is rare, so is all that holds it.
-            phrases = staged(phrases.filter((F.col("start") + shards - 1 > step) | (F.col("n") >= min_count)))
-            discard(old)
+            going = F.col("start") > step - shards + 1
+            table = staged(summed(phrases, names).filter(going | often))
+            discard(written)
+            written, phrases = table, table.filter(going)
             shared.destroy()
+            if step >= shards:
+                done.append(staged(table.filter(~going).select("k", *names, "n")))
         if step < shards:
-            _reach(firsts[0], words.filter(F.col("n") >= min_count), ["h"], step)
-        for k in range(2, max_words if phrases is not None else 2):
-            _reach(firsts[k - 1], phrases.filter((F.col("k") == k) & (F.col("n") >= min_count)), names[:k], step)
-    often = F.col("n") >= min_count
-    kept = staged(words.filter(often)), staged(phrases.filter(often)), staged(words.groupBy("lang").agg(F.sum("n").alias("total")))
-    discard(words, phrases, blocks)
+            _reach(firsts[0], words.filter(often), ["h"], step)
+        # Phrases of k words are counted before step k * shards.
+        for k in range(max(2, step // shards + 1), max_words if written is not None else 2):
+            _reach(firsts[k - 1], written.filter((F.col("k") == k) & often), names[:k], step)
+    kept = staged(words.filter(often)), staged(reduce(DataFrame.unionByName, done)), staged(words.groupBy("lang").agg(F.sum("n").alias("total")))
+    discard(words, written, blocks, *done)
     return kept
 
 

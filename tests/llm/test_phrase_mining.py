@@ -104,3 +104,37 @@ def test_wide_blocks_use_the_long_form():
     for distinct in (3, 1 << 30):
         words, n = phrase_mining.counted(codes, at, 3, distinct)
         assert sorted(zip(*[w.tolist() for w in words], n.tolist())) == [(0, 1, 2, 2), (1, 2, 0, 1)]
+
+
+def test_a_phrase_that_is_counted_moves_no_more(spark, monkeypatch):
+    stage, plans, moved = phrase_mining.staged, [], []
+
+    def watched(df):
+        out = stage(df)
+        if "start" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            moved.extend(out.select("k", "start", "h0", "h1", "h2").collect())
+        return out
+
+    monkeypatch.setattr(phrase_mining, "staged", watched)
+    docs = spark.createDataFrame(_random_rows(5, 90), KINDS).repartition(3)
+    rows = phrase_mining.collocations(docs, min_count=3, block_words=50).collect()
+    assert rows and moved
+    # Once for each step of its cycle of three shards.
+    assert max(moved.count(row) for row in set(moved)) <= 3
+    # Blocks are summed already: rows are grouped after they have moved, not before as well.
+    assert all(plan.rindex("HashAggregate") < plan.index("Exchange") for plan in plans)
+
+
+def test_blocks_spell_every_text(spark):
+    rows = [(i, t, l) for i, (t, l) in enumerate([("a b. A", "en"), ("a c", None), ("", "en"), ("!", "de"), ("b\ta ", "en")])]
+    docs = spark.createDataFrame(rows, KINDS).coalesce(1)
+    (block,) = phrase_mining.coded(docs, "text", "lang", 3, 42, 1000).collect()
+    codes = np.frombuffer(block.codes, dtype="<i4").tolist()
+    said = [None if c < 0 else (block.langs[c], block.words[c]) for c in codes]
+    pieces = [[]]
+    for word in said:
+        pieces[-1].append(word) if word else pieces.append([])
+    wanted = [[("en", "a"), ("en", "b")], [("en", "a")], [("en", "b"), ("en", "a")], [("und", "a"), ("und", "c")]]
+    assert sorted(p for p in pieces if p) == sorted(wanted)
+    assert dict(zip(zip(block.langs, block.words), block.counts)) == Counter(w for w in said if w)
